@@ -5,9 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import mixing, quality_rules, url_filter
 from .work import read
 
+URL_RULES = [
+    url_filter.UrlRule("org/", "allow"),
+    url_filter.UrlRule("example.org/es/", "block"),
+    url_filter.UrlRule("example.org/en/1", "block"),
+    url_filter.UrlRule("com/fr/", "allow"),
+    url_filter.UrlRule("com/de/", "block"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block list holds the keys (host + path) of urls seen with a campaign parameter."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge_urls(pages, URL_RULES, F.col("url").contains("utm_source="))
+
+
+OP1_SQL = """
+WITH r AS (SELECT page_id, url, CASE WHEN url IS NULL OR position('://' IN url) = 0 THEN NULL ELSE substr(url, position('://' IN url) + 3) END AS rest FROM pages),
+h AS (SELECT page_id, url,
+  coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM r),
+l AS (SELECT DISTINCT host || path AS k FROM h WHERE host <> '' AND contains(url, 'utm_source=')),
+f AS (SELECT page_id, url, host, path, (host || path) IN (SELECT k FROM l) AS listed,
+  CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+       WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+       WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+       WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+       WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM h)
+SELECT page_id, url, host, path, listed, rule,
+  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict FROM f
+"""
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
+
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
@@ -15,5 +50,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept")
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_url_filter": op1_url_filter, "op7_mixing": op7_mixing, "op10_quality_rules": op10_quality_rules}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL}
