@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, url_filter
+from . import mixing, quality_rules, secrets, simhash, url_filter
 from .work import read
 
 URL_RULES = [
@@ -40,15 +40,30 @@ SELECT page_id, url, host, path, listed, rule,
 """
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
     counts = [F.col(f"st.{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return judged.select("doc_id", *counts, "base_failed", "kept")
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op7_mixing": op7_mixing, "op10_quality_rules": op10_quality_rules}
+QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op5_secrets": op5_secrets,
+    "op7_mixing": op7_mixing,
+    "op9_simhash": op9_simhash,
+    "op10_quality_rules": op10_quality_rules,
+}
 ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL}
