@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, secrets, simhash, url_filter
+from . import mixing, pieces, quality_rules, secrets, simhash, url_filter, warc
 from .work import read
 
 URL_RULES = [
@@ -40,6 +40,25 @@ SELECT page_id, url, host, path, listed, rule,
 """
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(read(spark, sf_dir, "pages"))
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS newest FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(h, CAST(floor(i / 4) AS INTEGER) * 5 + 1, 5) AS INTEGER) // CAST(pow(32, 3 - i % 4) AS INTEGER)) % 32 + 1 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> newest THEN newest END AS refers_to FROM m
+"""
+
+
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
@@ -61,9 +80,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op3_warc": op3_warc,
+    "op4_pieces": op4_pieces,
     "op5_secrets": op5_secrets,
     "op7_mixing": op7_mixing,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op3_warc": OP3_SQL}
