@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, quality_rules, secrets, simhash, url_filter, warc
+from . import mixing, near_vectors, pieces, quality_rules, secrets, simhash, url_filter, warc
 from .work import read
 
 URL_RULES = [
@@ -40,6 +40,10 @@ SELECT page_id, url, host, path, listed, rule,
 """
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(read(spark, sf_dir, "pages"))
 
@@ -80,6 +84,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_near_vectors": op2_near_vectors,
     "op3_warc": op3_warc,
     "op4_pieces": op4_pieces,
     "op5_secrets": op5_secrets,
