@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_vectors, pieces, quality_rules, secrets, simhash, url_filter, warc
+from . import mixing, near_vectors, pieces, pii, quality_rules, secrets, simhash, url_filter, warc
 from .work import read
 
 URL_RULES = [
@@ -67,6 +67,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, c -> c.kind = {i})) AS bigint)").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(F.expr(pii.joined("base")), 256).alias("base_sha256"), F.expr(pii.joined("spans")).alias("spans"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
 
@@ -88,6 +94,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_pieces": op4_pieces,
     "op5_secrets": op5_secrets,
+    "op6_pii": op6_pii,
     "op7_mixing": op7_mixing,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
