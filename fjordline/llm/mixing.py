@@ -88,3 +88,14 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
         }
     )
     return rows.select(*docs.columns, "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position", "in_mix")
+
+
+def in_order(mixed: DataFrame, columns: list[str], rows_in_part: int = 20_000) -> DataFrame:
+    """``columns`` of a mixed table, dealt to partitions by ranges of ``mix_position`` and sorted there, so that files read in order follow
+    the schedule. Partition numbers are computed, not sampled."""
+    size = mixed.agg(F.max("mix_position").alias("top"), F.count("*").alias("n")).first()
+    if not size["n"]:
+        return mixed.select(*columns)
+    parts = max(1, math.ceil(size["n"] / rows_in_part))
+    number = F.expr(f"cast(mix_position * {parts}L div {size['top'] + 1}L as int)")
+    return mixed.repartitionById(parts, number).sortWithinPartitions("mix_position").select(*columns)
