@@ -5,8 +5,8 @@ record: the writer streams chunks into one gzip member a record, the reader infl
 gives back chunk rows that carry the running SHA-1 of the payload so far. The last chunk's digest is the payload's.
 
 Of records with equal payloads of at least ``least`` bytes, the one with the largest id is the response and the others revisit
-it. Equal payloads are found on (digest, id) rows alone; html is dealt by id, so a payload that a third of the pages share makes no large
-task.
+it. Equal payloads are found on (digest, id) rows alone. Where the revisits found are few by count, they are broadcast and html is not shuffled; else
+html is dealt by id, so a payload that a third of the pages share makes no large task.
 
 Each attempt of a task writes files of its own name; the table of files lists those of committed attempts only, so a lost executor leaves at
 most unread files. Files go to a URI that pyarrow's file systems open.
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .work import new_path, written
 
 CHUNK, FILE_BYTES, LEVEL = 1 << 16, 1 << 28, 3
+#: Revisits (64 bytes each) that may be broadcast; more are joined by a shuffle of the pages.
+BROADCAST_ROWS = 100_000
 DATE = "1970-01-01T00:00:00Z"
 CHUNK_SCHEMA = "record string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, chunk int, data binary, running_sha1 string, last boolean"
 
@@ -43,6 +45,9 @@ def chunk_table(pages: DataFrame, key: str = "page_id", url: str = "url", payloa
     digests = base.select("page_id", "sha1").where(F.col("page_id").isNotNull() & (F.col("bytes") >= least)).distinct()
     newest = digests.groupBy("sha1").agg(F.max("page_id").alias("newest"))
     revisits = digests.join(newest, "sha1").where("page_id <> newest").select(F.col("page_id").alias("__k"), F.col("sha1").alias("__s"), "newest")
+    revisits = written(revisits, "revisits")
+    if revisits.count() <= BROADCAST_ROWS:
+        revisits = F.broadcast(revisits)
     rows = base.join(revisits, (F.col("page_id") == F.col("__k")) & (F.col("sha1") == F.col("__s")), "left")
     rows = rows.withColumn("body", F.when(F.col("newest").isNull(), F.col("body")).otherwise(F.lit(b"")))
     rows = rows.withColumn("chunk", F.explode(F.expr(f"sequence(0, cast(greatest(0L, octet_length(body) - 1L) div {chunk} as int))")))
@@ -81,7 +86,7 @@ def write_archives(chunks: DataFrame, folder: str, level: int = LEVEL, file_byte
                 done.append((path, records))
                 out = None
 
-        for b in batches:
+        for b in (batch.slice(i, 64) for batch in batches for i in range(0, batch.num_rows, 64)):
             for page_id, url, whole, sha1, kind, refers_to, chunk, data, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if chunk == 0:
                     if out is not None and size >= file_bytes:
