@@ -1,0 +1 @@
+"""Reusable column expressions."""

@@ -1,0 +1 @@
+"""Operators over bar panels, labels, folds, predictions and runs."""

@@ -1,0 +1 @@
+"""Readers of bars, quotes and saved results."""
