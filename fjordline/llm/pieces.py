@@ -15,6 +15,7 @@ result; rows with a null key use the key text "null". A model file without byte
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -70,7 +71,7 @@ class Pieces:
         self.tables = []
         for n in range(1, self.longest + 1):
             rows = sorted(by_length.get(n, []))
-            self.tables.append((np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])))
+            self.tables.append((np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows], np.float32)))
         self.powers = _BASE ** np.arange(self.longest + 1, dtype=np.uint64)
         self.clear()
 
@@ -83,7 +84,7 @@ class Pieces:
     def clear(self) -> None:
         self.segment_ids: dict[str, int] = {}
         self.last_node, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.chance, self.steps, self.ids, self.first = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.chance, self.steps, self.ids, self.first = np.zeros(0, np.float32), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def _add(self, segments: list[str]) -> None:
         """Forward-filter the lattices of new segments, those of equal length together."""
@@ -92,7 +93,7 @@ class Pieces:
         chance, steps, ids, first, nodes, edges = [self.chance], [self.steps], [self.ids], [self.first], len(self.first), len(self.chance)
         for n in np.unique(lengths).tolist():
             which = np.nonzero(lengths == n)[0]
-            for part in np.array_split(which, max(1, len(which) * n // 200_000)):
+            for part in np.array_split(which, max(1, len(which) * n // 20_000)):
                 points = _points("".join(segments[i] for i in part)).reshape(len(part), n)
                 c, s, i, f = self._lattice(points)
                 chance.append(c)
@@ -112,8 +113,8 @@ class Pieces:
         prefix = np.zeros((rows, n + 1), np.uint64)
         for j in range(n):
             prefix[:, j + 1] = prefix[:, j] * _BASE + points[:, j] + np.uint64(1)
-        weight = np.full((rows, n, widest), -np.inf)
-        piece = np.zeros((rows, n, widest), np.int64)
+        weight = np.full((rows, n, widest), -np.inf, np.float32)
+        piece = np.zeros((rows, n, widest), np.int32)
         for size in range(1, widest + 1):
             hashes, found, logs = self.tables[size - 1]
             if not len(hashes):
@@ -127,8 +128,8 @@ class Pieces:
         bare = ~np.isfinite(weight[:, :, 0]) | (points == ord(BLANK))
         width = 1 + (points >= 0x80) + (points >= 0x800).astype(np.int64) + (points >= 0x10000)
         weight[:, :, 0] = np.where(bare, -self.alpha * np.log(BYTE_RANK) * width, weight[:, :, 0])
-        piece[:, :, 0] = np.where(bare, -1 - points.astype(np.int64), piece[:, :, 0])
-        total = np.zeros((rows, n + 1))
+        piece[:, :, 0] = np.where(bare, -1 - points.astype(np.int32), piece[:, :, 0])
+        total = np.zeros((rows, n + 1), np.float32)
         for j in range(1, n + 1):
             k = min(j, widest)
             edges = weight[:, j - 1, :k] + total[:, j - 1 :: -1][:, :k]
@@ -142,7 +143,7 @@ class Pieces:
         np.put_along_axis(chance, final[:, :, None], 2.0, 2)
         degree = real.sum(2).ravel()
         size = np.broadcast_to(np.arange(widest, 0, -1, dtype=np.int32), real.shape)
-        return chance[real], size[real], piece[real].astype(np.int32), np.cumsum(degree) - degree
+        return chance[real], size[real], piece[real], np.cumsum(degree) - degree
 
     def sample(self, keys: list[str], texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
@@ -197,6 +198,12 @@ class Pieces:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "surrogatepass")
 
 
+@functools.lru_cache(2)
+def shared_pieces(model: bytes, alpha: float) -> Pieces:
+    """One per Python worker: tasks that follow each other find the lattices of common segments ready."""
+    return Pieces(model, alpha)
+
+
 def read_model(path: str = MODEL) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -210,7 +217,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     proto, at_key, at_text = read_model(model), docs.columns.index(key), docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(proto, alpha)
+        pieces = shared_pieces(proto, alpha)
         for whole in batches:
             for start in range(0, whole.num_rows, 400):
                 b = whole.slice(start, 400)
@@ -233,7 +240,7 @@ def decode(rows: DataFrame, ids: str = "piece_ids", into: str = "text", model: s
     proto, at = read_model(model), rows.columns.index(ids)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(proto)
+        pieces = shared_pieces(proto, 1.0)
         for b in batches:
             texts = [pieces.decode(i or []) for i in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, into])
