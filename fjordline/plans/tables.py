@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import ship
 from ..functions.exprs import ratio, sign
 from ..operators import backtest, folds
 from ..operators.panel import by_instrument
@@ -12,6 +13,7 @@ from ..sources import bars as B
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
