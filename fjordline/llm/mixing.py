@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 #: Slots that weights are rounded to, rows in a block, and the exponent of source sizes that gives default weights.
 PERIOD, BLOCK, SMOOTHING = 1000, 16, 0.5
+MADE = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position", "in_mix")
 
 
 def _shares(sizes: DataFrame, weights: DataFrame | None, period: int, smoothing: float) -> DataFrame:
@@ -62,38 +63,43 @@ def one_period(shares: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, period: int = PERIOD, smoothing: float = SMOOTHING) -> DataFrame:
-    """Append mix_block, mix_release, mix_deadline, mix_slot, mix_position and in_mix."""
-    rows = docs.withColumn("__src", _source(source))
+    """Append mix_block, mix_release, mix_deadline, mix_slot, mix_position and in_mix; columns of these names are replaced."""
+    own = [c for c in docs.columns if c not in MADE]
+    rows = docs.select(*own).withColumn("__fj_src", _source(source))
     buckets = max(1, math.isqrt(max(0, docs.count() - 1)) + 1)
-    rows = rows.withColumn("__b", F.pmod(F.xxhash64(F.lit(11), key), F.lit(buckets)).cast("int"))
-    counts = rows.groupBy("__src", "__b").agg(F.count("*").alias("__m"))
-    before = Window.partitionBy("__src").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__src", "__b", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__off"))
-    shares = _shares(counts.groupBy(F.col("__src").alias("src")).agg(F.sum("__m").alias("n")), weights, period, smoothing)
+    rows = rows.withColumn("__fj_b", F.pmod(F.xxhash64(F.lit(11), key), F.lit(buckets)).cast("int"))
+    counts = rows.groupBy("__fj_src", "__fj_b").agg(F.count("*").alias("__fj_m"))
+    before = Window.partitionBy("__fj_src").orderBy("__fj_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__fj_src", "__fj_b", F.coalesce(F.sum("__fj_m").over(before), F.lit(0)).alias("__fj_off"))
+    shares = _shares(counts.groupBy(F.col("__fj_src").alias("src")).agg(F.sum("__fj_m").alias("n")), weights, period, smoothing)
     plan = one_period(shares)
-    slot = lambda b: F.expr(f"({b} div c) * period + slots[cast({b} % c as int)]")
-    plan = plan.withColumn("full", F.expr(f"n div {block}")).withColumn("__end", slot("full"))
-    plan = plan.join(F.broadcast(plan.agg(F.min("__end").alias("limit"))))
+    plan = plan.select("src", F.col("c").alias("__fj_c"), F.col("period").alias("__fj_p"), F.col("slots").alias("__fj_s"), F.expr(f"n div {block}").alias("__fj_full"))
+    slot = lambda b: F.expr(f"({b} div __fj_c) * __fj_p + __fj_s[cast({b} % __fj_c as int)]")
+    plan = plan.withColumn("__fj_end", slot("__fj_full"))
+    plan = plan.join(F.broadcast(plan.agg(F.min("__fj_end").alias("__fj_limit"))))
     # one row for each source, read beside each (source, bucket) count
-    place = offsets.join(plan, offsets["__src"] == plan["src"]).select("__src", "__b", "__off", "c", "period", "slots", "limit")
-    within = Window.partitionBy("__src", "__b").orderBy(F.xxhash64(F.lit(12), key), key)
-    rows = rows.withColumn("__rn", F.row_number().over(within)).join(place, ["__src", "__b"])
-    rows = rows.withColumn("__i", F.col("__off") + F.col("__rn") - 1).withColumn("mix_block", F.expr(f"__i div {block}"))
+    place = offsets.join(plan, offsets["__fj_src"] == plan["src"]).select("__fj_src", "__fj_b", "__fj_off", "__fj_c", "__fj_p", "__fj_s", "__fj_limit")
+    within = Window.partitionBy("__fj_src", "__fj_b").orderBy(F.xxhash64(F.lit(12), key), key)
+    rows = rows.withColumn("__fj_rn", F.row_number().over(within)).join(place, ["__fj_src", "__fj_b"])
+    rows = rows.withColumn("__fj_i", F.col("__fj_off") + F.col("__fj_rn") - 1).withColumn("mix_block", F.expr(f"__fj_i div {block}"))
     rows = rows.withColumn("mix_slot", slot("mix_block")).withColumns(
         {
-            "mix_release": F.expr("mix_block * period div c"),
-            "mix_deadline": F.expr("((mix_block + 1) * period + c - 1) div c"),
-            "mix_position": F.expr(f"mix_slot * {block} + __i % {block}"),
-            "in_mix": F.col("mix_slot") < F.col("limit"),
+            "mix_release": F.expr("mix_block * __fj_p div __fj_c"),
+            "mix_deadline": F.expr("((mix_block + 1) * __fj_p + __fj_c - 1) div __fj_c"),
+            "mix_position": F.expr(f"mix_slot * {block} + __fj_i % {block}"),
+            "in_mix": F.col("mix_slot") < F.col("__fj_limit"),
         }
     )
-    return rows.select(*docs.columns, "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position", "in_mix")
+    return rows.select(*(F.col(f"`{c}`") for c in own), *MADE)
 
 
-def in_order(mixed: DataFrame, columns: list[str], rows_in_part: int = 20_000) -> DataFrame:
-    """``columns`` of a mixed table, dealt to partitions by ranges of ``mix_position`` and sorted there, so that files read in order follow
-    the schedule. Partition numbers are computed, not sampled."""
+def ordered(docs: DataFrame, rows_in_part: int = 20_000, **how) -> DataFrame:
+    """The rows and columns of ``docs``, dealt to partitions by ranges of their mixing position and sorted there, so that files read in
+    order follow the schedule. Partition numbers are computed, not sampled. No row is dropped."""
+    clash = {c: f"__fj_own_{c}" for c in docs.columns if c in MADE}
+    mixed = mix(docs.withColumnsRenamed(clash), **how)
     size = mixed.agg(F.max("mix_position").alias("top"), F.count("*").alias("n")).first()
+    columns = [F.col(f"`{clash.get(c, c)}`").alias(c) for c in docs.columns]
     if not size["n"]:
         return mixed.select(*columns)
     parts = max(1, math.ceil(size["n"] / rows_in_part))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Weight exponent of a byte piece's rank and the number of lattice edges kept between batches.
-BYTE_RANK, MOST_EDGES = 200_000, 6_000_000
+BYTE_RANK, MOST_EDGES = 200_000, 3_000_000
 
 _SEGMENT = re.compile(r"\n| *[^ \n]+| +")
 _BASE = np.uint64(0x9E3779B97F4A7C15)

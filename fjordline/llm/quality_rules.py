@@ -6,8 +6,8 @@ binned labelled rows, and the driver only sees (feature, bin) totals. ``verdict`
 as one CASE expression, so scoring is a map over the documents with no shuffle.
 
 Defined results: a null text counts as empty (no words: every ratio 0, so it fails the base rule); repeated
-rows are judged alike; an empty table gives an empty result; other columns of the input stay as they are
-unless their names clash with a requested count, which then replaces them in the output. Labels other than
+rows are judged alike; an empty table gives an empty result; other columns of the input stay as they are;
+``judge`` replaces columns that are called like its results, ``good`` returns the input's columns untouched. Labels other than
 0/1 and labels of missing documents are ignored; a document labelled both ways counts as bad.
 """
 
@@ -38,46 +38,46 @@ _BLANKS = "concat(' ', char(9), char(10), char(11), char(12), char(13))"
 def text_stats(df: DataFrame, text: str = "text", into: str = "st") -> DataFrame:
     """Append the struct ``into`` of whole-text counts; ``n_repeat_words`` counts the words inside three-word
     windows that occur at least twice."""
-    df = df.withColumn("__t", F.expr(f"coalesce(`{text}`, '')"))
-    df = df.withColumn("__w", F.expr(f"array_remove(split(__t, '{_SPACE}'), '')"))
-    df = df.withColumn("__n", F.expr("size(__w)"))
+    df = df.withColumn("__fj_t", F.expr(f"coalesce(`{text}`, '')"))
+    df = df.withColumn("__fj_w", F.expr(f"array_remove(split(__fj_t, '{_SPACE}'), '')"))
+    df = df.withColumn("__fj_n", F.expr("size(__fj_w)"))
     df = df.withColumn(
-        "__g",
-        F.expr("if(__n < 4, array(), transform(sequence(0, __n - 3), i -> xxhash64(get(__w, i), get(__w, i + 1), get(__w, i + 2))))"),
+        "__fj_g",
+        F.expr("if(__fj_n < 4, array(), transform(sequence(0, __fj_n - 3), i -> xxhash64(get(__fj_w, i), get(__fj_w, i + 1), get(__fj_w, i + 2))))"),
     )
-    df = df.withColumn("__s", F.expr("sort_array(__g)"))
-    df = df.withColumn("__d", F.expr("array_distinct(filter(__s, (h, i) -> h = get(__s, i - 1)))"))
+    df = df.withColumn("__fj_s", F.expr("sort_array(__fj_g)"))
+    df = df.withColumn("__fj_d", F.expr("array_distinct(filter(__fj_s, (h, i) -> h = get(__fj_s, i - 1)))"))
     # Few repeated windows: look each window up in their list. Many: sort (window, place) pairs and keep equal neighbours.
     df = df.withColumn(
-        "__o",
-        F.expr("if(size(__d) > 24, array_sort(transform(__g, (h, i) -> struct(h, i)), (a, b) -> CASE WHEN a.h < b.h THEN -1 WHEN a.h > b.h THEN 1 ELSE a.i - b.i END), array())"),
+        "__fj_o",
+        F.expr("if(size(__fj_d) > 24, array_sort(transform(__fj_g, (h, i) -> struct(h, i)), (a, b) -> CASE WHEN a.h < b.h THEN -1 WHEN a.h > b.h THEN 1 ELSE a.i - b.i END), array())"),
     )
     df = df.withColumn(
-        "__p",
+        "__fj_p",
         F.expr(
-            "CASE WHEN size(__d) = 0 THEN array()"
-            " WHEN size(__d) <= 24 THEN filter(transform(__g, (h, i) -> if(array_contains(__d, h), i, -1)), i -> i >= 0)"
-            " ELSE sort_array(transform(filter(__o, (s, i) -> s.h <=> get(__o, i - 1).h OR s.h <=> get(__o, i + 1).h), s -> s.i)) END"
+            "CASE WHEN size(__fj_d) = 0 THEN array()"
+            " WHEN size(__fj_d) <= 24 THEN filter(transform(__fj_g, (h, i) -> if(array_contains(__fj_d, h), i, -1)), i -> i >= 0)"
+            " ELSE sort_array(transform(filter(__fj_o, (s, i) -> s.h <=> get(__fj_o, i - 1).h OR s.h <=> get(__fj_o, i + 1).h), s -> s.i)) END"
         ),
     )
-    df = df.withColumn("__l", F.expr(f"filter(split(__t, '\\n'), x -> length(translate(x, {_BLANKS}, '')) > 0)"))
+    df = df.withColumn("__fj_l", F.expr(f"filter(split(__fj_t, '\\n'), x -> length(translate(x, {_BLANKS}, '')) > 0)"))
     df = df.withColumn(
         into,
         once(
             f"""named_struct(
-            'n_words', CAST(__n AS BIGINT),
-            'word_chars', CAST(length(translate(__t, {_BLANKS}, '')) AS BIGINT),
-            'n_symbols', CAST(length(__t) - length(translate(__t, '#*$%&|<>', '')) AS BIGINT),
-            'n_lines', CAST(size(__l) AS BIGINT),
-            'n_dup_lines', CAST(size(__l) - size(array_distinct(__l)) AS BIGINT),
-            'n_repeat_words', CAST(if(size(__p) = 0, 0, 3 + aggregate(transform(__p, (x, i) -> if(i = 0, 0, least(3, x - get(__p, i - 1)))), 0, (a, x) -> a + x)) AS BIGINT),
-            'n_bang', CAST(length(__t) - length(translate(__t, '!', '')) AS BIGINT),
-            'n_upper', CAST(length(__t) - length(translate(__t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS BIGINT),
-            'n_digit', CAST(length(__t) - length(translate(__t, '0123456789', '')) AS BIGINT),
-            'n_distinct', CAST(size(array_distinct(__w)) AS BIGINT))"""
+            'n_words', CAST(__fj_n AS BIGINT),
+            'word_chars', CAST(length(translate(__fj_t, {_BLANKS}, '')) AS BIGINT),
+            'n_symbols', CAST(length(__fj_t) - length(translate(__fj_t, '#*$%&|<>', '')) AS BIGINT),
+            'n_lines', CAST(size(__fj_l) AS BIGINT),
+            'n_dup_lines', CAST(size(__fj_l) - size(array_distinct(__fj_l)) AS BIGINT),
+            'n_repeat_words', CAST(if(size(__fj_p) = 0, 0, 3 + aggregate(transform(__fj_p, (x, i) -> if(i = 0, 0, least(3, x - get(__fj_p, i - 1)))), 0, (a, x) -> a + x)) AS BIGINT),
+            'n_bang', CAST(length(__fj_t) - length(translate(__fj_t, '!', '')) AS BIGINT),
+            'n_upper', CAST(length(__fj_t) - length(translate(__fj_t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS BIGINT),
+            'n_digit', CAST(length(__fj_t) - length(translate(__fj_t, '0123456789', '')) AS BIGINT),
+            'n_distinct', CAST(size(array_distinct(__fj_w)) AS BIGINT))"""
         ),
     )
-    return df.drop("__t", "__w", "__n", "__g", "__s", "__d", "__o", "__p", "__l")
+    return df.drop("__fj_t", "__fj_w", "__fj_n", "__fj_g", "__fj_s", "__fj_d", "__fj_o", "__fj_p", "__fj_l")
 
 
 def features(st: str = "st") -> Column:
@@ -121,7 +121,7 @@ def verdict(rules: list[Rule], row: str = "f") -> Column:
     return F.expr("CASE " + " ".join(f"WHEN {rule_sql(r, row)} THEN false" for r in rules) + " ELSE true END")
 
 
-def labelled_stats(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", bound: int = MAX_LABELLED) -> DataFrame:
+def labelled_stats(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", bound: int = MAX_LABELLED, text: str = "text") -> DataFrame:
     """(f, bad, grow) of at most ``bound`` labelled documents, chosen by the hash of their id. The bounded label side is
     broadcast, so only the chosen texts are counted and no text is shuffled."""
     chosen = (
@@ -131,8 +131,8 @@ def labelled_stats(docs: DataFrame, labels: DataFrame, key: str = "doc_id", labe
         .orderBy(F.xxhash64("__k"), "__k")
         .limit(bound)
     )
-    found = docs.select(key, "text").join(F.broadcast(chosen), F.col(key) == F.col("__k"))
-    found = text_stats(found).where(~base_failed())
+    found = docs.select(key, text).join(F.broadcast(chosen), F.col(key) == F.col("__k"))
+    found = text_stats(found, text).where(~base_failed())
     return found.select(features().alias("f"), F.col("__bad").alias("bad"), (F.pmod(F.xxhash64(F.col("__k"), F.lit(7)), F.lit(3)) < 2).alias("grow"))
 
 
@@ -212,8 +212,21 @@ def learn_rules(rows: DataFrame, max_rules: int = 10, max_tests: int = 4, least_
     return rules
 
 
+def _judged(docs: DataFrame, labels: DataFrame, text: str) -> DataFrame:
+    """``docs`` with __fj_st, __fj_base and __fj_kept."""
+    rules = learn_rules(labelled_stats(docs, labels, text=text))
+    out = text_stats(docs, text, "__fj_st").withColumn("__fj_f", features("__fj_st"))
+    out = out.withColumn("__fj_base", base_failed("__fj_st"))
+    return out.withColumn("__fj_kept", ~F.col("__fj_base") & verdict(rules, "__fj_f")).drop("__fj_f")
+
+
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """All rows of ``docs`` with struct ``st``, ``base_failed`` and ``kept``."""
-    rules = learn_rules(labelled_stats(docs, labels))
-    out = text_stats(docs, text).withColumn("f", features())
-    return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules)).drop("f")
+    """All rows of ``docs`` with struct ``st``, ``base_failed`` and ``kept`` (columns of these names are replaced)."""
+    made = {"st": "__fj_st", "base_failed": "__fj_base", "kept": "__fj_kept"}
+    rest = [c for c in docs.columns if c not in made]
+    return _judged(docs, labels, text).select(*(F.col(f"`{c}`") for c in rest), *(F.col(v).alias(k) for k, v in made.items()))
+
+
+def good(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """The rows and columns of ``docs`` that are kept."""
+    return _judged(docs, labels, text).where("__fj_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
