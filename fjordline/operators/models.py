@@ -165,3 +165,39 @@ def fit_multinomial(train: DataFrame, test: DataFrame, features: list[str]) -> D
     model = LogisticRegression(labelCol="y", featuresCol="features", family="multinomial", regParam=0.0, maxIter=100).fit(_vectors(train, features))
     out = model.transform(_vectors(test, features))
     return out.select("instrument", "dt", "y", vector_to_array("probability").alias("p"), F.col("prediction").cast("int").alias("pred"))
+
+
+def tune_origins(rows: DataFrame, features: list[str], grid: dict[str, float], train: int, validation: int, keys: tuple[str, ...] = ("instrument", "fold")) -> DataFrame:
+    """Sequential out-of-sample tuning: for each origin (a fold whose last row is the one to forecast) the variants are fitted on ``train`` rows, the best
+    on the next ``validation`` rows (the first wins ties) is refitted on the whole pool and forecasts the row."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("dt")
+        pool, row = pdf[~pdf.is_test], pdf[pdf.is_test]
+        a, b = pool.iloc[:train], pool.iloc[train : train + validation]
+        empty = pd.DataFrame(columns=["fold", "model", "instrument", "dt", "y", "forward_r", "p0", "p1", "pred"])
+        if a.y.nunique() < 2 or b.empty or row.empty or pool.y.nunique() < 2:
+            return empty
+        x, z = prepare(a[features].to_numpy(float), b[features].to_numpy(float))
+        scores = [float(((chance(z, logistic(x, a.y.to_numpy(int), c)) > 0.5) == (b.y == 1)).mean()) for c in grid.values()]
+        name = list(grid)[int(np.argmax(scores))]
+        x, z = prepare(pool[features].to_numpy(float), row[features].to_numpy(float))
+        p = chance(z, logistic(x, pool.y.to_numpy(int), grid[name]))
+        return pd.DataFrame({"fold": row.fold, "model": name, "instrument": row.instrument, "dt": row.dt, "y": row.y, "forward_r": row.forward_r, "p0": 1 - p, "p1": p, "pred": (p > 0.5).astype(int)})
+
+    return rows.select("instrument", "fold", "is_test", "dt", "y", "forward_r", *features).groupBy(*keys).applyInPandas(work, PREDICTION)
+
+
+def forecast_last(rows: DataFrame, features: list[str], c: float = 1.0) -> DataFrame:
+    """(instrument, feature_date, p_sell, p_buy): fit on the labelled history, forecast the newest row, which has no label yet."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("dt")
+        known, last = pdf[pdf.y.notna()], pdf.iloc[[-1]]
+        if known.y.nunique() < 2:
+            return pd.DataFrame(columns=["instrument", "feature_date", "n_train", "p_sell", "p_buy"])
+        a, b = prepare(known[features].to_numpy(float), last[features].to_numpy(float))
+        p = chance(b, logistic(a, known.y.to_numpy(int), c))
+        return pd.DataFrame({"instrument": last.instrument, "feature_date": last.dt, "n_train": len(known), "p_sell": 1 - p, "p_buy": p})
+
+    return rows.select("instrument", "dt", "y", *features).groupBy("instrument").applyInPandas(work, "instrument string, feature_date date, n_train long, p_sell double, p_buy double")

@@ -100,3 +100,34 @@ def embedding_classifier(spark: SparkSession, sf: str) -> DataFrame:
     df = T.table(spark, sf, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), (F.col("label") == 0).cast("int").alias("y"))
     model = LogisticRegression(labelCol="y", regParam=0.01, maxIter=50).fit(df.where("vec_id % 2 = 0"))
     return model.transform(df.where("vec_id % 2 = 1")).select("vec_id", "y", F.col("prediction").cast("int").alias("pred"))
+
+
+class OriginSpec(folds.FoldSpec):
+    """250 rows of history and the one row after them."""
+
+    @property
+    def test(self) -> int:
+        return 1
+
+
+@query("tune_origins")
+def tune_origins(spark: SparkSession, sf: str) -> DataFrame:
+    rows = walk(spark, sf, OriginSpec(window=251, step=20))
+    return r6(models.tune_origins(rows, FEATURES, GRID, train=200, validation=50), "p0", "p1", "forward_r")
+
+
+@query("daily_signals")
+def daily_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """The signal sheet: gated runs, the newest row of each, a fit on its last 1000 labelled rows, side and target day."""
+    from ..operators import calendar, panel as P, select
+    from .eval_queries import runs
+
+    w = by_instrument()
+    df = features.realized_vol(features.pct_change(T.level(spark, sf), "px"), rows=20)
+    df = df.withColumns({"ret1": F.col("ret"), "ret2": F.lag("ret", 1).over(w), "ret3": F.lag("ret", 2).over(w), "gap": F.col("px") / F.avg("px").over(w.rowsBetween(-19, 0)) - 1})
+    df = df.withColumn("y", targets.binary_label(targets.forward_return(1, "px"))).where("vol IS NOT NULL")
+    made = models.forecast_last(P.last_rows(df, 1001), FEATURES)
+    gated = select.gate(runs(spark, sf), 0.5, "close").select("run", "acc")
+    out = made.join(gated, F.col("instrument") == F.col("run")).withColumn("pred", (F.col("p_buy") > 0.5).cast("int"))
+    out = out.withColumn("recommendation", select.recommendation(F.col("pred"), F.col("acc"))).withColumn("target_date", calendar.forecast_date(F.col("feature_date"), 1))
+    return r6(out.select("instrument", "feature_date", "target_date", "n_train", "p_sell", "p_buy", "acc", "recommendation"), "p_sell", "p_buy", "acc")
