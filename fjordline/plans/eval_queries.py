@@ -80,10 +80,10 @@ def long_rows(spark: SparkSession, sf: str) -> DataFrame:
     return prep.long_form(df, ["instrument", "fold", "dt", "is_test"], ["px", "p1", "flat"])
 
 
-@query("fold_median_impute", f"WITH {LONG} SELECT instrument, fold, feature, is_test, count(*) AS n_rows, round(sum(v), 4) AS total FROM imputed GROUP BY 1, 2, 3, 4")
+@query("fold_median_impute", f"WITH {LONG} SELECT instrument, fold, feature, is_test, count(*) AS n_rows, round(sum(v), 2) AS total FROM imputed GROUP BY 1, 2, 3, 4")
 def fold_median_impute(spark: SparkSession, sf: str) -> DataFrame:
     df = prep.median_impute(long_rows(spark, sf), ["instrument", "fold"])
-    return df.groupBy("instrument", "fold", "feature", "is_test").agg(F.count("*").alias("n_rows"), F.round(F.sum("v"), 4).alias("total"))
+    return df.groupBy("instrument", "fold", "feature", "is_test").agg(F.count("*").alias("n_rows"), F.round(F.sum("v"), 2).alias("total"))
 
 
 @query(

@@ -23,9 +23,9 @@ def r6(df: DataFrame, *columns: str) -> DataFrame:
 R6 = lambda *cs: ", ".join(f'round("{c}", 6) AS "{c}"' for c in cs)
 
 
-@query("bars_daily", f'WITH {T.DAILY} SELECT instrument, dt, {R6("open", "high", "low", "close", "volume", "mean_price")} FROM daily')
+@query("bars_daily", f'WITH {T.DAILY} SELECT instrument, dt, {R6("open", "high", "low", "close", "volume")}, round(mean_price, 6) AS mean_price FROM daily')
 def bars_daily(spark: SparkSession, sf: str) -> DataFrame:
-    return r6(T.daily(spark, sf), *OHLC, "volume", "mean_price")
+    return r6(T.daily(spark, sf), *OHLC, "volume").withColumn("mean_price", F.round("mean_price", 6))
 
 
 @query("bars_hourly", f'WITH {T.HOURLY} SELECT instrument, hour, {R6("open", "high", "low", "close", "volume")} FROM hourly')
@@ -107,7 +107,7 @@ u AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY dt DESC) AS
 SELECT instrument, dt, rn, round(px, 6) AS px FROM u WHERE k <= 200""",
 )
 def trim_period(spark: SparkSession, sf: str) -> DataFrame:
-    return r6(panel.last_rows(panel.trim_period(T.level(spark, sf), "1y"), 200), "px")
+    return panel.last_rows(panel.trim_period(T.level(spark, sf), "1y"), 200).withColumn("px", F.round("px", 6))
 
 
 @query(
@@ -117,7 +117,7 @@ SELECT instrument, dt, rn, round(px, 6) AS px, max(dt) OVER (PARTITION BY instru
 )
 def end_date_last_n(spark: SparkSession, sf: str) -> DataFrame:
     df = panel.last_rows(T.level(spark, sf), 100, F.lit("1998-06-30").cast("date"))
-    return r6(df.withColumn("effective_end", F.max("dt").over(Window.partitionBy("instrument"))), "px")
+    return df.withColumns({"effective_end": F.max("dt").over(Window.partitionBy("instrument")), "px": F.round("px", 6)})
 
 
 FUND = ["fund_sum", "fund_avg", "fund_count"]
