@@ -153,10 +153,12 @@ def learn_rules(rows: DataFrame, max_rules: int = 10, max_tests: int = 4, least_
 
     rows = written(rows, "labelled")
     cuts = rows.agg(*(F.percentile_approx(f"f.{k}", [i / BINS for i in range(BINS + 1)], 10_000).alias(k) for k in FEATURES)).first()
-    cuts = {k: sorted(set(cuts[k] or [])) for k in FEATURES}
+    # thresholds lie halfway between neighbouring quantiles, so that a rule keeps a margin to what it has seen
+    values = {k: sorted(set(cuts[k] or [])) for k in FEATURES}
+    cuts = {k: [(a + b) / 2 for a, b in zip(v, v[1:])] for k, v in values.items()}
     if not any(cuts.values()):
         return []
-    bins = F.array(*(F.expr(f"size(filter(array({', '.join(f'{c!r}D' for c in cuts[k])}), c -> c < f.{k}))") for k in FEATURES))
+    bins = F.array(*(F.expr(f"size(filter(cast(array({', '.join(f'{c!r}D' for c in cuts[k])}) as array<double>), c -> c < f.{k}))") for k in FEATURES))
     # Equal binned rows are counted once: conditions only test the bins' edges.
     rows = written(
         rows.withColumn("b", bins).groupBy("grow", "b").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good")),
