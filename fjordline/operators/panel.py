@@ -23,9 +23,9 @@ def join_exact_filled(bars: DataFrame, shared: DataFrame, columns: list[str], on
 def join_as_of(bars: DataFrame, shared: DataFrame, columns: list[str]) -> DataFrame:
     """The latest shared value on or before each bar's day, off-calendar days included: bars and values are put in one series per
     instrument and filled forwards, so no range join is needed."""
-    names = bars.select("instrument").distinct()
     # shared rows are dealt to every instrument: (instruments x days), the size of the panel itself
-    rows = names.join(shared.select(F.col("dt").alias("day"), *columns), F.lit(True))
+    names = bars.agg(F.collect_set("instrument")).scalar()
+    rows = shared.select(F.col("dt").alias("day"), *columns).withColumn("instrument", F.explode(names))
     marks = bars.select("instrument", "dt", F.lit(1).alias("is_bar"), *(F.lit(None).cast(dict(shared.dtypes)[c]).alias(c) for c in columns))
     both = marks.unionByName(rows.select("instrument", F.col("day").alias("dt"), F.lit(0).alias("is_bar"), *columns))
     w = by_instrument("dt", "is_bar").rowsBetween(Window.unboundedPreceding, 0)
