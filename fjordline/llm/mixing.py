@@ -95,13 +95,13 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
 
 def ordered(docs: DataFrame, rows_in_part: int = 20_000, **how) -> DataFrame:
     """The rows and columns of ``docs``, dealt to partitions by ranges of their mixing position and sorted there, so that files read in
-    order follow the schedule. Partition numbers are computed, not sampled. No row is dropped."""
+    order follow the schedule. Partition numbers are computed, not sampled; there are at least as many as shuffle partitions. No row is dropped."""
     clash = {c: f"__fj_own_{c}" for c in docs.columns if c in MADE}
     mixed = mix(docs.withColumnsRenamed(clash), **how)
     size = mixed.agg(F.max("mix_position").alias("top"), F.count("*").alias("n")).first()
     columns = [F.col(f"`{clash.get(c, c)}`").alias(c) for c in docs.columns]
     if not size["n"]:
         return mixed.select(*columns)
-    parts = max(1, math.ceil(size["n"] / rows_in_part))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size["n"] / rows_in_part))
     number = F.expr(f"cast(mix_position * {parts}L div {size['top'] + 1}L as int)")
     return mixed.repartitionById(parts, number).sortWithinPartitions("mix_position").select(*columns)
