@@ -33,8 +33,9 @@ def _shares(sizes: DataFrame, weights: DataFrame | None, period: int, smoothing:
     else:
         w = weights.select(_source("source").alias("src"), F.col("weight").cast("double").alias("w"))
         sizes = sizes.join(w.groupBy("src").agg(F.max("w").alias("w")), "src", "left").withColumn("w", F.coalesce(F.greatest("w", F.lit(0.0)), F.lit(0.0)))
-    total = sizes.agg(F.sum("w").alias("total"))
-    return sizes.join(F.broadcast(total)).withColumn("c", F.greatest(F.lit(1), F.round(F.lit(period) * F.col("w") / F.when(F.col("total") > 0, F.col("total")))).cast("long")).na.fill({"c": 1}).select("src", "n", "c")
+    total = sizes.agg(F.sum("w").alias("total")).scalar()
+    blocks = F.round(F.lit(period) * F.col("w") / F.when(total > 0, total)).cast("long")
+    return sizes.select("src", "n", F.greatest(F.lit(1).cast("long"), F.coalesce(blocks, F.lit(1).cast("long"))).alias("c"))
 
 
 def _source(column: str):
@@ -76,7 +77,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
     plan = plan.select("src", F.col("c").alias("__fj_c"), F.col("period").alias("__fj_p"), F.col("slots").alias("__fj_s"), F.expr(f"n div {block}").alias("__fj_full"))
     slot = lambda b: F.expr(f"({b} div __fj_c) * __fj_p + __fj_s[cast({b} % __fj_c as int)]")
     plan = plan.withColumn("__fj_end", slot("__fj_full"))
-    plan = plan.join(F.broadcast(plan.agg(F.min("__fj_end").alias("__fj_limit"))))
+    plan = plan.withColumn("__fj_limit", plan.agg(F.min("__fj_end")).scalar())
     # one row for each source, read beside each (source, bucket) count
     place = offsets.join(plan, offsets["__fj_src"] == plan["src"]).select("__fj_src", "__fj_b", "__fj_off", "__fj_c", "__fj_p", "__fj_s", "__fj_limit")
     within = Window.partitionBy("__fj_src", "__fj_b").orderBy(F.xxhash64(F.lit(12), key), key)
