@@ -248,7 +248,8 @@ CHAIN = f"WITH RECURSIVE {T.batches_sql()}"
 
 
 def chosen(spark: SparkSession, sf: str) -> DataFrame:
-    return tune.champions(T.batches(spark, sf)[0])
+    """One row a run and batch; kept, as steps, rates and endorsements all start from it."""
+    return tune.champions(T.batches(spark, sf)[0]).persist()
 
 
 @query("champion_fold", f"{CHAIN} SELECT run, batch, best, round(best_acc, 6) AS best_acc, champion FROM chain")
