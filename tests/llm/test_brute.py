@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from fjordline.llm import components, mixing, near_vectors, pieces, pii, queries, quality_rules, secrets, simhash, toxicity, url_filter
+from fjordline.llm import components, mixing, near_vectors, pieces, pii, queries, secrets, simhash, toxicity, url_filter
 from fjordline.llm.work import read
 
 from ..oracle import connect, same
