@@ -72,6 +72,10 @@ class Pieces:
         for n in range(1, self.longest + 1):
             rows = sorted(by_length.get(n, []))
             self.tables.append((np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows], np.float32)))
+        # which leading 20 bits of a hash any piece of that length has: most substrings are ruled out by one lookup
+        self.maybe = [np.zeros(1 << 20, bool) for _ in self.tables]
+        for seen, (hashes, _, _) in zip(self.maybe, self.tables, strict=True):
+            seen[hashes >> np.uint64(44)] = True
         self.powers = _BASE ** np.arange(self.longest + 1, dtype=np.uint64)
         self.clear()
 
@@ -115,15 +119,21 @@ class Pieces:
             prefix[:, j + 1] = prefix[:, j] * _BASE + points[:, j] + np.uint64(1)
         weight = np.full((rows, n, widest), -np.inf, np.float32)
         piece = np.zeros((rows, n, widest), np.int32)
+        longest = 1
         for size in range(1, widest + 1):
             hashes, found, logs = self.tables[size - 1]
             if not len(hashes):
                 continue
             own = prefix[:, size:] - prefix[:, :-size] * self.powers[size]
+            row, start = np.nonzero(self.maybe[size - 1][own >> np.uint64(44)])
+            own = own[row, start]
             at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-            hit = hashes[at] == own
-            weight[:, size - 1 :, size - 1] = np.where(hit, logs[at], -np.inf)
-            piece[:, size - 1 :, size - 1] = found[at]
+            hit = np.nonzero(hashes[at] == own)[0]
+            row, node, at = row[hit], start[hit] + size - 1, at[hit]
+            weight[row, node, size - 1] = logs[at]
+            piece[row, node, size - 1] = found[at]
+            longest = size if len(hit) else longest
+        weight, piece, widest = weight[:, :, :longest], piece[:, :, :longest], longest
         # code points that no piece covers, and the literal blank mark
         bare = ~np.isfinite(weight[:, :, 0]) | (points == ord(BLANK))
         width = 1 + (points >= 0x80) + (points >= 0x800).astype(np.int64) + (points >= 0x10000)
