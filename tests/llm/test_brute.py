@@ -245,6 +245,18 @@ def test_near_copies_are_caught_and_others_stay(spark):
     assert all(got[i] == i for i in range(60)) and np.mean([got[k] == v for k, v in origin.items()]) > 0.98
 
 
+def test_anchors_in_blocks_give_the_same_neighbours(spark):
+    rng = np.random.default_rng(19)
+    base = rng.integers(-(2**62), 2**62, 2)
+    rows = [(int(k % 3 == 0), i, *(int(w) ^ (1 << int(b)) for w, b in zip(base, rng.integers(0, 62, 2)))) for i, k in enumerate(range(600))]
+    covered = spark.createDataFrame(rows, "bucket long, id long, w0 long, w1 long")
+    near = lambda block: sorted(map(tuple, simhash._neighbours(covered, block).groupBy("a").agg(F.min("b"), F.min("bits")).collect()))
+    whole = near(1000)
+    assert len(whole) == 598 and near(50) == whole == near(300)
+    held = simhash._dealt(covered, 50).groupBy("bucket", "cell").count()
+    assert held.agg(F.max("count")).first()[0] <= 160 and held.count() > 20
+
+
 def plain_stats(t):
     t = t or ""
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
