@@ -245,6 +245,26 @@ def test_near_copies_are_caught_and_others_stay(spark):
     assert all(got[i] == i for i in range(60)) and np.mean([got[k] == v for k, v in origin.items()]) > 0.98
 
 
+def test_hubs_of_largest_id_and_decoys(spark):
+    rng = np.random.default_rng(23)
+    docs = []
+    for i in range(0, 400, 10):
+        hub = list(rng.choice([f"w{k}" for k in range(9000)], 400))
+        # the first ids are decoys (similarity of about 0.7 to the hub), then leaves (0.82 to the hub, 0.66 to each other), the hub last
+        for k, (at, n) in enumerate([(0, 64), (320, 64), (60, 36), (110, 36), (160, 36), (210, 36), (260, 36)]):
+            docs.append((i + k, " ".join([*hub[:at], *(f"x{i}.{k}.{j}" for j in range(n)), *hub[at + n :]])))
+        docs.append((i + 9, " ".join(hub)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in docs}
+    want = {}
+    for i in sets:  # only a hub is similar to others of its ten
+        ten = [k for k in sets if k // 10 == i // 10]
+        links = {k for k in ten if len(sets[k] & sets[i // 10 * 10 + 9]) >= 0.8 * len(sets[k] | sets[i // 10 * 10 + 9])}
+        assert len(links) == 6 and all(len(sets[a] & sets[b]) < 0.8 * len(sets[a] | sets[b]) for a in links for b in links if a < b < i // 10 * 10 + 9)
+        want[i] = min(links) if i in links else i
+    got = {r.id: r.component_id for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert np.mean([got[i] == w for i, w in want.items()]) > 0.93 and all(got[i] == i for i in sets if i % 10 < 2)
+
+
 def test_anchors_in_blocks_give_the_same_neighbours(spark):
     rng = np.random.default_rng(19)
     base = rng.integers(-(2**62), 2**62, 2)
