@@ -1,8 +1,8 @@
 """Secret scans through nested encodings.
 
 Every whole text is scanned for three kinds of secrets. Then a worklist unwraps URL escapes, Unicode escapes, base64 runs and
-compressed payloads; every unwrapped layer is scanned and unwrapped again until no new layer appears. A layer seen before (cycle) is not
-opened twice. Spans found in a layer are mapped back to code points of the text: escapes position by position, base64
+compressed payloads; every unwrapped layer is scanned and unwrapped again until no new layer appears. A layer seen before at the same place
+(cycle) is not opened twice. Spans found in a layer are mapped back to code points of the text: escapes position by position, base64
 by its four-to-three ratio, compressed payloads to the run that held them.
 
 Defined results: a null text counts as empty; repeated rows are judged alike; an empty table gives an empty result.
@@ -150,23 +150,30 @@ def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
     """(base spans, spans of base and all layers), each by start, then kind as listed."""
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(base_spans(text), key=order)
-    found, seen = set(base), {text}
-    work = [Layer(text, range(len(text)), range(1, len(text) + 1))]
+    found, seen = set(base), {(text, 0, len(text))}
+    work = [_opened(Layer(text, range(len(text)), range(1, len(text) + 1)))]
     while work:
-        layer = work.pop()
-        made = list(_unpacked(layer))
-        if "%" in layer.text and (x := _substituted(layer, _PERCENT, _percent)):
-            made.append(x)
-        if ("\\" in layer.text or "&#" in layer.text) and (x := _substituted(layer, _UNICODE, _unicode)):
-            made.append(x)
-        for x in made:
-            if x.text not in seen:
-                seen.add(x.text)
-                found.update((k, *x.outer(a, b)) for k, a, b in base_spans(x.text))
-                work.append(x)
+        x = next(work[-1], None)
+        if x is None:
+            work.pop()
+            continue
+        # one text may lie at several places of the document: each of them is a layer of its own
+        seal = (x.text, *x.outer(0, len(x.text))) if x.text else None
+        if seal and seal not in seen:
+            seen.add(seal)
+            found.update((k, *x.outer(a, b)) for k, a, b in base_spans(x.text))
+            work.append(_opened(x))
     return base, sorted(found, key=order)
 
 
+def _opened(layer: Layer) -> Iterator[Layer]:
+    yield from _unpacked(layer)
+    if "%" in layer.text and (x := _substituted(layer, _PERCENT, _percent)):
+        yield x
+    if ("\\" in layer.text or "&#" in layer.text) and (x := _substituted(layer, _UNICODE, _unicode)):
+        yield x
+
+
 def redacted(text: str, spans: list[tuple[str, int, int]], mark: str = "<SECRET>") -> str:
     out, at = [], 0
     for _, a, b in spans:

@@ -150,6 +150,15 @@ def test_nested_layers_are_opened_and_mapped():
     assert secrets.all_spans("x passw%6frd%3Dabcdefabcdef1 y")[1] == [("assign", 2, 28)]
 
 
+def test_a_payload_at_two_places_is_found_twice():
+    for x in (base64.b64encode(SECRET.encode()).decode(), base64.b64encode(zlib.compress(SECRET.encode())).decode()):
+        t = f"one {x} two {x} end"
+        every = secrets.all_spans(t)[1]
+        for k in secrets.KINDS:
+            assert any(s[0] == k and s[2] <= 4 + len(x) for s in every) and any(s[0] == k and s[1] >= 9 + len(x) for s in every), (k, every)
+        assert not any(x[i : i + 16] in secrets.redacted(t, every) for i in range(8, len(x) - 30, 4) if x.startswith("eJ"))
+
+
 def plain_pii(t):
     luhn = lambda d: sum(int(c) if i % 2 == 0 else 2 * int(c) - 9 * (int(c) > 4) for i, c in enumerate(reversed(d))) % 10 == 0
     digits = lambda m: re.sub("[^0-9]", "", m[0])
