@@ -156,7 +156,26 @@ def test_a_payload_at_two_places_is_found_twice():
         every = secrets.all_spans(t)[1]
         for k in secrets.KINDS:
             assert any(s[0] == k and s[2] <= 4 + len(x) for s in every) and any(s[0] == k and s[1] >= 9 + len(x) for s in every), (k, every)
-        assert not any(x[i : i + 16] in secrets.redacted(t, every) for i in range(8, len(x) - 30, 4) if x.startswith("eJ"))
+
+
+def test_layers_that_are_not_clean_text_are_opened():
+    b64 = lambda s: base64.b64encode(s).decode()
+    wrap = lambda s: "\n".join(s[i : i + 76] for i in range(0, len(s), 76))
+    noise = hashlib.sha512(b"n").digest() * 3
+    emoji = "".join(f"\\u{ord(c):04x}" for c in SECRET[:30]) + "\\ud83d\\ude00\\ud800" + "".join(f"\\u{ord(c):04x}" for c in SECRET[30:])
+    long = b"".join(hashlib.sha1(b"%d" % i).digest() for i in range(900_000)) + "é".encode() * 99 + SECRET.encode()
+    layers = {
+        "nul": b64(b"\0" + SECRET.encode() + b"\0\0"), "space": b64(("\xa0\u200b\ufeff" + SECRET).encode()), "latin": b64(("é " + SECRET).encode("latin-1")),
+        "utf-16": b64(SECRET.encode("utf-16")), "utf-16-be": b64(SECRET.encode("utf-16-be")), "utf-32": b64(SECRET.encode("utf-32")), "emoji": emoji.replace("\\ud83d\\ude00\\ud800", " \\ud83d\\ude00\\ud800 "),
+        "wrapped": wrap(b64(gzip.compress(noise + hashlib.sha512(b"m").digest() + SECRET.encode()))), "wrapped text": wrap(b64(SECRET.encode() * 3)), "odd lines": "abcdefghijklmnopq\n" + wrap(b64(zlib.compress(SECRET.encode()))),
+        "truncated": b64(zlib.compress(SECRET.encode() * 50 + noise)[:-40]), "members": b64(gzip.compress(b"clean words") + gzip.compress(SECRET.encode())), "long": b64(zlib.compress(long, 1)), "again": b64(zlib.compress(gzip.compress(SECRET.encode()))),
+    }
+    for name, x in layers.items():
+        base, every = secrets.all_spans(f"clean é {x} end")
+        added = [s for s in every if s not in base]
+        want = {"access", "hex"} if name == "emoji" else {"assign", "access", "hex"}
+        assert {s[0] for s in added} >= want and all(8 <= a < b <= 8 + len(x) for _, a, b in added), (name, added)
+    assert not secrets.all_spans("plain words over\nlines of text and\nnothing_else_that_is_long here")[1]
 
 
 def plain_pii(t):
