@@ -293,6 +293,18 @@ def test_hubs_of_largest_id_and_decoys(spark):
     assert np.mean([got[i] == w for i, w in want.items()]) > 0.93 and all(got[i] == i for i in sets if i % 10 < 2)
 
 
+def test_long_texts_are_decided_on_all_their_shingles(spark):
+    rng = np.random.default_rng(29)
+    docs, want = [], {}
+    for i in range(0, 80, 2):
+        text = list(rng.choice([f"w{k}" for k in range(99_000)], 3000))
+        n = 319 if i % 4 else 338  # similarities of 0.805 and 0.795
+        docs += [(i, " ".join(text)), (i + 1, " ".join([*text[:900], *(f"x{i}.{j}" for j in range(n)), *text[900 + n :]]))]
+        want[i + 1] = i if i % 4 else i + 1
+    got = {r.id: r.component_id for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[k] == k for k, w in want.items() if k == w) and np.mean([got[k] == w for k, w in want.items()]) > 0.95
+
+
 def test_anchors_in_blocks_give_the_same_neighbours(spark):
     rng = np.random.default_rng(19)
     base = rng.integers(-(2**62), 2**62, 2)
