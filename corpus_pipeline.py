@@ -4,7 +4,10 @@
 2. SimHash near-dedup: one document of each group of near copies (five-word shingles, similarity of 0.8 or more) stays;
 3. secret scans: secrets, also those under encodings, are replaced in the texts;
 4. mixing: rows are put into the order of the Pfair schedule, so that reading the files in order gives the target weights;
-5. pieces: sampled SentencePiece segmentations of the texts, with the check that decoding gives them back.
+5. pieces: sampled SentencePiece segmentations of the texts, with the check that decoding gives them back; ``mix_part`` and ``mix_row`` hold
+   each row's place in the mixed order (file and row in it), which a scan doesn't keep.
+
+Defined results: rows with null texts fail the base rule of the first stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,9 +41,17 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.ordered(docs)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs``, read from the files of a mixed table, with the number of its file and its row in that file (null for rows that come from no file)."""
+    if not docs.inputFiles():
+        return docs.withColumns({"mix_part": F.lit(None).cast("int"), "mix_row": F.lit(None).cast("long")})
+    part = F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).cast("int")
+    return docs.select("*", part.alias("mix_part"), F.col("_metadata.row_index").alias("mix_row"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return pieces.encode(docs)
+    return pieces.encode(placed(docs))
 
 
 STAGES = [

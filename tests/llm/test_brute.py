@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from fjordline.llm import components, mixing, near_vectors, pieces, pii, queries, secrets, simhash, toxicity, url_filter
 from fjordline.llm.work import read
 
@@ -342,20 +343,59 @@ def test_learned_rules_keep_good_documents(spark):
     assert r.good > 0.99 and r.bad < 0.5
 
 
-def test_schedule_deviates_by_less_than_a_block(spark):
-    shares = spark.createDataFrame([("a", 10, 5), ("b", 10, 3), ("c", 10, 1), ("d", 10, 4)], "src string, n long, c long")
-    rows = mixing.one_period(shares).collect()
-    period = rows[0].period
-    assert sorted(x for r in rows for x in r.slots) == list(range(period))
-    for r in rows:
-        for t in range(period + 1):
-            assert abs(sum(x < t for x in r.slots) - t * r.c / period) < 1
-        assert all(k * period // r.c <= x < -(-(k + 1) * period // r.c) for k, x in enumerate(r.slots))
-
-
-def test_mixing_places_every_row_within_its_window(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source")
-    weights = spark.createDataFrame([("src0", 0.5), ("src1", 0.25), ("src2", 0.25)], "source string, weight double")
-    out = mixing.mix(docs, weights, block=4)
-    assert out.count() == docs.count() == out.select("mix_position").distinct().count()
-    assert out.where("mix_slot < mix_release OR mix_slot >= mix_deadline").isEmpty()
+def plain_schedule(c, full):
+    """Earliest deadline first, slot by slot, with whole numbers."""
+    p, done, out = sum(c.values()), dict.fromkeys(c, 0), []
+    for t in range(min(-(-(full[k] + 1) * p // c[k]) for k in c if c[k])):
+        k = min((-(-(done[k] + 1) * p // c[k]), k) for k in c if c[k] and done[k] * p // c[k] <= t)[1]
+        out.append((t, k, done[k]))
+        done[k] += 1
+    return out
+
+
+@pytest.mark.parametrize("kinds", [3, 9, 40])
+def test_frames_give_the_whole_schedule(spark, kinds):
+    rng = np.random.default_rng(kinds)
+    for c in (rng.integers(0, 10**6, kinds), rng.choice([1, 2, 3, 7, 500], kinds)):
+        c = {f"s{i:02d}": int(x) for i, x in enumerate(c)}
+        n = {k: int(rng.integers(60, 900)) * 16 for k in c}
+        laid = mixing.schedule(spark.createDataFrame([(k, n[k], c[k]) for k in c], "src string, n long, c long"), frame=int(rng.integers(20, 90)))
+        assert sorted((r.slot, r.src, r.block) for r in laid.collect()) == plain_schedule(c, {k: v // 16 for k, v in n.items()})
+
+
+def test_schedule_deviates_by_less_than_a_block_from_given_weights(spark):
+    given = {"=a": 7000, "=b": 2999, "=c": 1, "=d": 0}
+    weights = spark.createDataFrame([("a", 0.7), ("b", 0.2999), ("c", 0.0001), ("d", 0.0), ("e", None)], "source string, weight double")
+    sizes = spark.createDataFrame([("=a", 16 * 80_000), ("=b", 16 * 80_000), ("=c", 16 * 10), ("=d", 999), ("=e", 99), ("-", 5)], "src string, n long")
+    got = mixing.schedule(mixing.shares(sizes, weights)).orderBy("slot").collect()
+    assert len(got) > 100_000 and [r.slot for r in got] == list(range(len(got)))
+    done = dict.fromkeys(given, 0)
+    for t, r in enumerate(got, 1):
+        done[r.src] += 1
+        assert all(abs(done[k] * 10_000 - w * t) < 10_000 for k, w in given.items()), t
+
+
+def test_every_row_of_the_mix_follows_the_schedule(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, str(s) if s < 4 else None) for i, s in enumerate(rng.choice(5, 9000, p=[0.4, 0.3, 0.2, 0.07, 0.03]).tolist())]
+    weights = spark.createDataFrame([("0", 0.25), ("1", 0.35), ("2", 0.3), ("3", 0.1)], "source string, weight double")
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=4, bucket=100).collect()
+    n = collections.Counter(f"={r.source}" for r in out if r.source)
+    c = {"=0": 25, "=1": 35, "=2": 30, "=3": 10}
+    laid = plain_schedule(c, {k: n[k] // 4 for k in n})
+    end = next(t for t, k, b in laid if b >= n[k] // 4)
+    mixed = sorted((r.mix_slot, f"={r.source}", r.mix_block) for r in out if r.in_mix)
+    assert mixed == sorted(x for x in laid[:end] for _ in range(4))
+    assert sorted(r.mix_position for r in out if r.in_mix) == list(range(4 * end))
+    assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in out if r.in_mix) and len(out) == 9000
+    assert all(r.mix_slot is None and r.mix_position is None for r in out if not r.in_mix) and all(not r.in_mix for r in out if r.source is None)
+
+
+def test_rows_in_file_order_follow_the_schedule(spark, tmp_path):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 > 0, "a").otherwise("b").alias("source"), F.lit(7).alias("mix_slot"))
+    weights = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "source string, weight double")
+    mixing.ordered(docs, weights, block=5, rows_in_part=300).write.parquet(str(tmp_path / "mixed"))
+    back = spark.read.parquet(str(tmp_path / "mixed"))
+    assert back.columns == docs.columns and back.count() == 4000 and back.where("mix_slot = 7").count() == 4000
+    rows = [r.source for r in corpus_pipeline.placed(back).orderBy("mix_part", "mix_row").collect()]
+    assert all(abs(rows[:k].count("b") - k / 2) <= 5 for k in range(0, 2000, 5)) and rows[:2000].count("b") == 1000

@@ -45,7 +45,9 @@ def test_quality(docs, none, labels):
 
 def test_mixing(docs, none):
     out = mixing.mix(docs)
-    assert out.count() == len(ROWS) and out.select("mix_position").distinct().count() == len(ROWS)
+    assert out.count() == len(ROWS) and out.where("in_mix").isEmpty()  # one source has less than a block
+    small = mixing.mix(docs, block=1)
+    assert small.count() == len(ROWS) and small.where("in_mix").select("mix_position").distinct().count() == small.where("in_mix").count() > 0
     assert mixing.mix(none).count() == 0 and mixing.ordered(none).count() == 0
     assert mixing.ordered(docs).columns == docs.columns and mixing.ordered(docs).count() == len(ROWS)
 
