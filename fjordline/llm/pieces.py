@@ -6,6 +6,9 @@ the lattice of a text falls into lattices of short segments; these are built onc
 all of its occurrences at once. Every draw is a hash of (seed, row key, segment number, step), so a row gets the same pieces
 whatever its batch, partition or attempt.
 
+Running totals are in double precision, since they grow with the segment; only finished chances are kept in single precision. A segment of more than ``LONG`` code points is filtered in
+blocks that leave their last totals behind, and sampled backwards from block to block, each block's lattice being made again; so memory follows the block and not the segment.
+
 Pieces and their ranks come from a given public model file; a weight is rank ** -alpha (the file ranks pieces by merge order). A code
 point that no piece covers, and a literal U+2581, fall back to byte pieces, so decoding gives back every text exactly.
 
@@ -16,6 +19,7 @@ result; rows with a null key use the key text "null". A model file without byte
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -27,8 +31,8 @@ from pyspark.sql import DataFrame
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: Weight exponent of a byte piece's rank and the number of lattice edges kept between batches.
-BYTE_RANK, MOST_EDGES = 200_000, 3_000_000
+#: Rank of a byte piece, the number of lattice edges kept between batches, and the code points of a segment above which its lattice is made in blocks.
+BYTE_RANK, MOST_EDGES, LONG = 200_000, 3_000_000, 50_000
 
 _SEGMENT = re.compile(r"\n| *[^ \n]+| +")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -99,7 +103,7 @@ class Pieces:
             which = np.nonzero(lengths == n)[0]
             for part in np.array_split(which, max(1, len(which) * n // 20_000)):
                 points = _points("".join(segments[i] for i in part)).reshape(len(part), n)
-                c, s, i, f = self._lattice(points)
+                c, s, i, f, _ = self._lattice(points)
                 chance.append(c)
                 steps.append(s)
                 ids.append(i)
@@ -109,9 +113,10 @@ class Pieces:
         self.chance, self.steps, self.ids, self.first = (np.concatenate(x) for x in (chance, steps, ids, first))
         self.last_node, self.length = np.concatenate([self.last_node, last]), np.concatenate([self.length, lengths])
 
-    def _lattice(self, points: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Edges into each node, the longest first: (running probability, length, piece or -1 - code point), and the first
-        edge of each node."""
+    def _lattice(self, points: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Edges into each node, the longest first: (running probability, length, piece or -1 - code point), the first
+        edge of each node, and the totals of all nodes. ``before`` holds the totals of the first nodes, whose edges are left out: those of the blocks before."""
+        known = 0 if before is None else before.shape[1] - 1
         rows, n = points.shape
         widest = min(n, self.longest)
         prefix = np.zeros((rows, n + 1), np.uint64)
@@ -139,21 +144,58 @@ class Pieces:
         width = 1 + (points >= 0x80) + (points >= 0x800).astype(np.int64) + (points >= 0x10000)
         weight[:, :, 0] = np.where(bare, -self.alpha * np.log(BYTE_RANK) * width, weight[:, :, 0])
         piece[:, :, 0] = np.where(bare, -1 - points.astype(np.int32), piece[:, :, 0])
-        total = np.zeros((rows, n + 1), np.float32)
-        for j in range(1, n + 1):
+        total = np.zeros((rows, n + 1))
+        if known:
+            total[:, : known + 1] = before
+        if rows == 1:
+            # one segment: plain numbers are faster than arrays of one row
+            node, back = np.nonzero(np.isfinite(weight[0]))
+            first, logs, reach, own = np.searchsorted(node, np.arange(n + 1)).tolist(), weight[0, node, back].tolist(), (back + 1).tolist(), total[0].tolist()
+            for j in range(known + 1, n + 1):
+                x = [logs[e] + own[j - reach[e]] for e in range(first[j - 1], first[j])]
+                top = max(x)
+                own[j] = top + math.log(sum([math.exp(y - top) for y in x]))
+            total[0] = own
+            weight[0, node, back] += total[0, np.maximum(node - back, 0)] - total[0, node + 1]
+        for j in range(known + 1, n + 1) if rows > 1 else ():
             k = min(j, widest)
             edges = weight[:, j - 1, :k] + total[:, j - 1 :: -1][:, :k]
             top = edges.max(1)
             total[:, j] = top + np.log(np.exp(edges - top[:, None]).sum(1))
             weight[:, j - 1, :k] = edges - total[:, j, None]
-        weight, piece = weight[:, :, ::-1], piece[:, :, ::-1]
+        weight, piece = weight[:, known:, ::-1], piece[:, known:, ::-1]
         chance = np.exp(weight).cumsum(2)
         real = np.isfinite(weight)
         final = widest - 1 - np.argmax(real[:, :, ::-1], 2)
         np.put_along_axis(chance, final[:, :, None], 2.0, 2)
         degree = real.sum(2).ravel()
         size = np.broadcast_to(np.arange(widest, 0, -1, dtype=np.int32), real.shape)
-        return chance[real], size[real], piece[real], np.cumsum(degree) - degree
+        return chance[real], size[real], piece[real], np.cumsum(degree) - degree, total
+
+    def _long(self, segment: str, state: np.uint64) -> np.ndarray:
+        """The sampled ids of one long segment, as ``sample`` draws them for others."""
+        points, block = _points(segment)[None, :], LONG // 2
+        borders, totals = [], np.zeros((1, 1))
+        starts = range(0, points.shape[1], block)
+        for a in starts:
+            borders.append(totals)
+            totals = self._lattice(points[:, a + 1 - totals.shape[1] : a + block], totals)[4][:, -self.longest - 1 :]
+        out, step, node, draws = [], 0, points.shape[1], []
+        for a, totals in zip(reversed(starts), reversed(borders), strict=True):
+            chance, steps, ids, first, _ = (x.tolist() for x in self._lattice(points[:, a + 1 - totals.shape[1] : a + block], totals))
+            found = []
+            while node > a:
+                if step % block == 0:
+                    more = np.arange(step + 1, step + block + 1, dtype=np.uint64)
+                    draws = ((_mixed(state + _BASE * more) >> np.uint64(12)).astype(np.float64) / 2.0**52).tolist()
+                u, edge = draws[step % block], first[node - a - 1]
+                while u >= chance[edge]:
+                    edge += 1
+                found.append(ids[edge])
+                node -= steps[edge]
+                step += 1
+            out.append(np.array(found[::-1], np.int64))
+        return np.concatenate(out[::-1])
 
     def sample(self, keys: list[str], texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
@@ -163,18 +205,22 @@ class Pieces:
         counts = np.array([len(x) for x in by_text], np.int64)
         flat = list(chain.from_iterable(by_text))
         known = self.segment_ids
-        new = sorted(set(flat) - known.keys())
+        new = sorted(x for x in set(flat) - known.keys() if len(x) <= LONG)
         if new:
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             self._add(new)
-        occurrences = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        occurrences = np.fromiter((known.get(x, -1) for x in flat), np.int64, len(flat))
         n = len(occurrences)
         row = np.repeat(np.arange(len(texts)), counts)
         number = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
         base = np.array([xxhash.xxh64_intdigest(k.encode(), seed % 2**64) for k in keys], np.uint64)
         state = _mixed(base[row] + _BASE * (number.astype(np.uint64) + np.uint64(1)))
-        live, node, left = np.arange(n), self.last_node[occurrences], self.length[occurrences]
+        live = np.nonzero(occurrences >= 0)[0]
+        node, left = self.last_node[occurrences[live]], self.length[occurrences[live]]
         chosen, taken, step = [], np.zeros(n, np.int64), 0
+        whole = {k: self._long(flat[k], state[k]) for k in np.nonzero(occurrences < 0)[0].tolist()}
+        for k, found in whole.items():
+            taken[k] = len(found)
         while len(live):
             step += 1
             u = (_mixed(state[live] + np.uint64(int(_BASE) * step % 2**64)) >> np.uint64(12)).astype(np.float64) / 2.0**52
@@ -193,6 +239,8 @@ class Pieces:
         ids = np.zeros(int(taken.sum()), np.int64)
         for back, (which, piece) in enumerate(chosen, 1):
             ids[starts[which] + taken[which] - back] = piece
+        for k, found in whole.items():
+            ids[starts[k] : starts[k] + taken[k]] = found
         owner = np.repeat(row, taken)
         if (ids < 0).any():
             bare = np.nonzero(ids < 0)[0]
