@@ -13,8 +13,11 @@ MAX_ROUNDS = 60
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b), root being the smallest node reachable.
 
-    Each round's edge table is written to the shared folder, so rounds don't chain lineage. Minima are partial
-    aggregates; the joins on a hub are ordinary equi-joins that adaptive execution can split.
+    Each round's edge table is written to the shared folder, so rounds don't chain lineage. Minima are partial aggregates and are written too: both sides of a
+    join are then plain shuffles, which adaptive execution can split where a hub has many edges.
+
+    Defined results: edges with a null end and edges from a node to itself are left out, so nodes with no other edge are not returned; repeated edges count once; an empty
+    table gives an empty result; other columns are not looked at.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seal = _seal(now)
@@ -22,9 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
         if seal[0] == 0:
             break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         now = written(small, "edges")
         before, seal = seal, _seal(now)

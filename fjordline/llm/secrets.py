@@ -3,7 +3,7 @@
 Every whole text is scanned for three kinds of secrets. Then a worklist unwraps URL escapes, Unicode escapes, base64 runs and
 compressed payloads; every unwrapped layer is scanned and unwrapped again until no new layer appears. A layer seen before at the same place
 (cycle) is not opened twice. Spans found in a layer are mapped back to code points of the text: escapes position by position, base64
-by its four-to-three ratio (runs wrapped over lines are joined), compressed payloads to the run that held them.
+by its four-to-three ratio (runs wrapped over lines are joined), compressed payloads (zlib, gzip with all its members, bare deflate) to the run that held them.
 
 Decoded bytes need not be text: all patterns are ASCII, so they are looked for byte by byte and, where there are zero bytes, in units of two and four
 bytes of either order; whatever is not ASCII stands as one other character. Compressed payloads are read to their end, in windows.
@@ -143,9 +143,9 @@ def _texts(raw: bytes) -> Iterator[tuple[str, int, int]]:
             yield flat.decode("latin-1"), offset, width
 
 
-def _inflated(chunks: Iterable[bytes]) -> Iterator[bytes]:
-    """What a compressed stream and the gzip members right after it hold, as far as it is sound; a MB at a time."""
-    unpack = zlib.decompressobj(47)
+def _inflated(chunks: Iterable[bytes], bits: int = 47) -> Iterator[bytes]:
+    """What a compressed stream and the gzip members right after it hold, as far as it is sound; a MB at a time. ``bits`` of -15: a bare stream without a head."""
+    unpack = zlib.decompressobj(bits)
     try:
         for data in chunks:
             while True:
@@ -164,16 +164,20 @@ def _inflated(chunks: Iterable[bytes]) -> Iterator[bytes]:
         return
 
 
-def _windows(raw: bytes) -> Iterator[bytes]:
+def _windows(raw: bytes, bare: bool = False) -> Iterator[bytes]:
     """The windows of a compressed payload (compressed again or not); none if it is not compressed."""
     first, rest, seen = raw, iter(()), set()
+    if bare:
+        rest = _inflated([raw], -15)
+        first = next(rest, b"")
+        seen.add(raw)
     while first[:2] in _HEADS and first not in seen:
         seen.add(first)
         inner = _inflated(chain([first], rest))
         if not (head := next(inner, b"")):
             break
         first, rest = head, inner
-    if not seen or first is raw:
+    if not seen or first is raw or not first:
         return
     hold = bytearray()
     for chunk in chain([first], rest):
@@ -186,6 +190,17 @@ def _windows(raw: bytes) -> Iterator[bytes]:
         yield bytes(hold)
 
 
+def _bare(raw: bytes) -> bool:
+    """Whether bytes look like a deflate stream without a head: a first block of fixed or dynamic codes whose first bytes are legible or compressed again."""
+    if len(raw) < 12 or raw[0] & 6 not in (2, 4):
+        return False
+    try:
+        start = zlib.decompressobj(-15).decompress(raw[:4096], 256)
+    except zlib.error:
+        return False
+    return bool(_LEGIBLE.search(start)) or start[:2] in _HEADS
+
+
 def _decoded(run: str) -> bytes:
     run = run[: len(run) - (len(run) % 4 == 1)].replace("-", "+").replace("_", "/")
     return base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
@@ -215,9 +230,10 @@ def _runs(text: str) -> Iterator[tuple[str, range | list[int], int]]:
 def _unpacked(layer: Layer) -> Iterator[Layer]:
     for run, places, end in _runs(layer.text):
         raw = _decoded(run)
-        if raw[:2] in _HEADS:
+        bare = raw[:2] not in _HEADS and _bare(raw)
+        if bare or raw[:2] in _HEADS:
             a, b = layer.outer(places[0], end)
-            for window in _windows(raw):
+            for window in _windows(raw, bare):
                 for text, _, _ in _texts(window):
                     yield Layer(text, _Same(a, len(text)), _Same(b, len(text)))
         for text, offset, width in _texts(raw):

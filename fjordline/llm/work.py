@@ -17,9 +17,12 @@ _own: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a private one only where that is unset (tests on one machine)."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a private folder serves a session on one machine; on a cluster it is an error, since
+    executors would not share it."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         folder = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="fjordline-"))
     return folder.rstrip("/")

@@ -218,6 +218,7 @@ def test_layers_that_are_not_clean_text_are_opened():
         "utf-16": b64(SECRET.encode("utf-16")), "utf-16-be": b64(SECRET.encode("utf-16-be")), "utf-32": b64(SECRET.encode("utf-32")), "emoji": emoji.replace("\\ud83d\\ude00\\ud800", " \\ud83d\\ude00\\ud800 "),
         "wrapped": wrap(b64(gzip.compress(noise + hashlib.sha512(b"m").digest() + SECRET.encode()))), "wrapped text": wrap(b64(SECRET.encode() * 3)), "odd lines": "abcdefghijklmnopq\n" + wrap(b64(zlib.compress(SECRET.encode()))),
         "truncated": b64(zlib.compress(SECRET.encode() * 50 + noise)[:-40]), "members": b64(gzip.compress(b"clean words") + gzip.compress(SECRET.encode())), "long": b64(zlib.compress(long, 1)), "again": b64(zlib.compress(gzip.compress(SECRET.encode()))),
+        "bare": b64(zlib.compress(SECRET.encode() * 3, wbits=-15)), "bare with noise": b64(zlib.compress(b"clean words of a plain head " + noise + SECRET.encode(), wbits=-15)), "bare again": b64(zlib.compress(gzip.compress(SECRET.encode()), wbits=-15)),
     }
     for name, x in layers.items():
         base, every = secrets.all_spans(f"clean é {x} end")
