@@ -1,8 +1,8 @@
 """Toxicity after noisy-channel deobfuscation.
 
 A character trigram model is counted over the words of all documents. Tokens that look disguised (digits or signs among letters, letters
-set apart, letters repeated) become a lattice of the letters each sign may stand for; a Viterbi search under the character model picks the
-likeliest word, and the restored words join the document's own. Words and their openings (four to six letters, for inflected forms) are weighed by log odds
+set apart, letters repeated) become a lattice of the letters each sign may stand for; in runs of letters set apart a word may end after any letter, so that a run holds
+several words. A Viterbi search under the character model picks the likeliest reading, and the restored words join the document's own. Words and tokens may have any length. Words and their openings (four to six letters, for inflected forms) are weighed by log odds
 over labelled documents, and a small logistic model turns a document's hits into a probability.
 
 Labels are learned from at most ``MAX_LABELLED`` labelled rows outside the held-out fold, chosen by the hash of their id: two thirds weigh words, one third fits the logistic
@@ -36,9 +36,9 @@ SIZE = 64  # symbols of the character model: 0 is a word's border, the last is a
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "*": "aeiou"}
 SIGN_COST, DROP_COST, DOUBLE_COST = 1.0, 0.7, 2.5
 
-_PUNCTUATION = re.compile(r"[^\w@$!|+€£(*'-]+")
 _SPACED = re.compile(r"(?<!\w)(?:\w[ .\-_*]){3,}\w(?!\w)")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
+_STRETCHED = re.compile(r"(.)\1{3,}", re.S)
 _SUSPECT = re.compile(r"(?:[^\W\d_][0-9@$!|+€£(*]|[0-9@$|+€£(*][^\W\d_])")
 _CODE = np.full(0x10000, SIZE - 1, np.int64)
 for _c in range(0x10000):
@@ -79,94 +79,115 @@ def character_model(counts: DataFrame) -> np.ndarray:
     return -np.log((table + 4.0 * low) / (table.sum(2, keepdims=True) + 4.0)).astype(np.float64)
 
 
-def restore(token: str, cost: np.ndarray) -> str:
-    """The likeliest word behind a disguised token: Viterbi over states (last two letters)."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def restore(token: str, cost: np.ndarray, apart: bool = False) -> str:
+    """The likeliest word behind a disguised token: Viterbi over states (last two letters). ``apart``: each letter may also end a word, and the words are returned with
+    blanks between them. More than three equal characters on end count as three."""
+    token = _STRETCHED.sub(r"\1\1\1", token)
+    # a path is (path before, letter), so that paths share what they have in common
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     run = 0
     for i, c in enumerate(token):
         run = run + 1 if i and token[i - 1] == c else 0
         options = [(x, SIGN_COST) for x in SIGNS[c]] if c in SIGNS else [(c, 0.0)] if c.isalpha() else []
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        if apart and i:
+            ends = [(price + cost[a, b, 0], (path, " ")) for (a, b), (price, path) in states.items() if b]
+            if ends and (least := min(ends, key=lambda e: e[0]))[0] < states.get((0, 0), (math.inf,))[0]:
+                states[0, 0] = least
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
 
-        def offer(state, price, word, after=after):
+        def offer(state, price, path, after=after):
             if state not in after or price < after[state][0]:
-                after[state] = (price, word)
+                after[state] = (price, path)
 
-        for (a, b), (price, word) in states.items():
+        for (a, b), (price, path) in states.items():
             if not options:
-                offer((a, b), price + DROP_COST, word)
+                offer((a, b), price + DROP_COST, path)
             for letter, extra in options:
                 x = int(_CODE[min(ord(letter), 0xFFFF)])
-                offer((b, x), price + extra + cost[a, b, x], word + letter)
-                if word and word[-1] == letter:
-                    offer((a, b), price + extra + (DROP_COST if run >= 2 or i + 1 < len(token) and token[i + 1] == c and run else DOUBLE_COST), word)
+                offer((b, x), price + extra + cost[a, b, x], (path, letter))
+                if path and path[1] == letter:
+                    offer((a, b), price + extra + (DROP_COST if run >= 2 or i + 1 < len(token) and token[i + 1] == c and run else DOUBLE_COST), path)
         states = after
-    return min(((p + cost[a, b, 0], w) for (a, b), (p, w) in states.items()), default=(0.0, ""))[1]
+    path, out = min(((p + cost[a, b, 0], w) for (a, b), (p, w) in states.items()), key=lambda e: e[0], default=(0.0, None))[1], []
+    while path:
+        out.append(path[1])
+        path = path[0]
+    return "".join(reversed(out))
 
 
 class Reader:
     """Turns texts into their sets of words and openings, restored words included."""
 
     def __init__(self, cost: np.ndarray):
-        self.word = lru_cache(1 << 16)(lambda token: restore(token, cost))
+        self.known = lru_cache(1 << 16)(lambda token, apart: restore(token, cost, apart))
+        self.cost = cost
+
+    def word(self, token: str, apart: bool = False) -> str:
+        return self.known(token, apart) if len(token) <= 64 else restore(token, self.cost, apart)
 
     def restored(self, low: str) -> set[str]:
         out = set()
         for m in _SPACED.finditer(low):
-            # letters set apart: try the whole run and the run without a single letter word at either end
-            letters = re.sub(r"[^\w]|_", "", m[0])
-            for x in (letters, letters[1:], letters[:-1]):
-                out.add(self.word(x[:40]))
+            letters = m[0][::2]
+            out.update(self.word(letters, True).split())
+            # where the model sees no border, a word may yet begin: seven letters from each place give its openings
+            joined = self.word(letters)
+            out.update(joined[i : i + 7] for i in range(max(1, len(joined) - 3)))
         for token in low.split():
-            if len(token) <= 40 and (_SUSPECT.search(token) or _REPEATED.search(token)):
+            if _SUSPECT.search(token) or _REPEATED.search(token):
                 core = token.strip(".,;:?\"'-_)")
-                if sum(c.isalpha() for c in core) * 2 >= len(core):
-                    out.add(self.word(core))
-                    out.add(self.word(core.rstrip("!|*(")))
+                out.add(self.word(core))
+                out.add(self.word(core.rstrip("!|*(")))
         return out
 
-    def words(self, text: str, disguised: bool) -> set[str]:
-        low = text.lower()
+    def words(self, low: str, disguised: bool) -> set[str]:
+        plain = low
         for c in ",.;:!?\"()":
-            if c in low:
-                low = low.replace(c, " ")
-        words = set(low.split())
+            if c in plain:
+                plain = plain.replace(c, " ")
+        words = set(plain.split())
         if disguised:
-            words |= self.restored(text.lower())
+            words |= self.restored(low)
         return words
 
 
 def features(words: set[str]) -> set[str]:
-    out = {w for w in words if 3 <= len(w) <= 24}
+    out = {w for w in words if len(w) >= 3}
     for n in (4, 5, 6):
-        out |= {w[:n] + "~" for w in words if n < len(w) <= 24}
+        out |= {w[:n] + "~" for w in words if n < len(w)}
     return out
 
 
-_LETTER = np.array([chr(i).isalpha() or i >= 0x80 for i in range(256)])
-_SIGN = np.array([chr(i) in "0123456789@$!|+(*" for i in range(256)])
-_GAP = np.array([chr(i) in " .-_*" for i in range(256)])
+def _table(pattern: str) -> np.ndarray:
+    """Which code points below 65,536 (the last stands for all others) match ``pattern``."""
+    found = re.compile(pattern)
+    return np.array([bool(found.match(chr(i))) for i in range(0x10000)])
+
 
+_LETTER, _ALNUM, _SIGN, _GAP = _table(r"[^\W\d_]"), _table(r"\w"), _table(r"[0-9@$!|+€£(*]"), _table(r"[ .\-_*]")
+_LETTER[-1] = _ALNUM[-1] = True
 
-def disguised_rows(column: pa.Array) -> np.ndarray:
-    """Which texts may hold a disguised token, from the bytes of the whole batch at once: a sign beside a letter, three equal
-    letters, or letters set apart."""
-    column = column.cast(pa.large_string()).cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    if not len(column) or offsets[-1] == offsets[0]:
-        return np.zeros(len(column), bool)
-    raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    letter, sign = _LETTER[raw], _SIGN[raw]
+
+def disguised_rows(low: list[str]) -> np.ndarray:
+    """Which lower-cased texts may hold a disguised token, from the code points of all of them at once: a sign beside a letter, three equal
+    letters, or letters set apart. It is true wherever ``Reader.restored`` has something to restore."""
+    sizes = np.array([len(t) + 8 for t in low], np.int64)
+    raw = np.frombuffer(("\n" * 8).join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.minimum(raw, 0xFFFF)
+    letter, sign, alnum, gap = _LETTER[at], _SIGN[at], _ALNUM[at], _GAP[at]
     hit = np.zeros(len(raw), bool)
     hit[1:] |= letter[1:] & sign[:-1] | sign[1:] & letter[:-1]
-    folded = raw | 0x20
-    hit[2:] |= letter[2:] & (folded[2:] == folded[1:-1]) & (folded[1:-1] == folded[:-2])
-    gap = _GAP[raw]
-    if len(raw) > 5:
-        hit[5:] |= gap[:-5] & letter[1:-4] & gap[2:-3] & letter[3:-2] & gap[4:-1] & letter[5:]
-        hit[4] |= letter[0] & gap[1] & letter[2] & gap[3] & letter[4]
-    places = np.nonzero(hit)[0] + offsets[0]
-    return np.diff(np.searchsorted(places, offsets)) > 0
+    hit[2:] |= letter[2:] & (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2])
+    if len(raw) > 6:
+        hit[6:] |= alnum[:-6] & gap[1:-5] & alnum[2:-4] & gap[3:-3] & alnum[4:-2] & gap[5:-1] & alnum[6:]
+    return np.diff(np.searchsorted(np.nonzero(hit)[0], np.concatenate([[0], np.cumsum(sizes)]))) > 0
+
+
+def lowered(column: pa.Array, rows: int = 250) -> Iterator[tuple[int, list[str], list[bool]]]:
+    """(first row, lower-cased texts, whether each may be disguised), a few rows at a time."""
+    for start in range(0, len(column), rows):
+        low = [(t or "").lower() for t in column.slice(start, rows).to_pylist()]
+        yield start, low, disguised_rows(low).tolist()
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -186,9 +207,9 @@ def labelled(docs: DataFrame, labels: DataFrame, cost: np.ndarray, key: str, tex
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(cost)
         for b in batches:
-            sure = disguised_rows(b.column(2))
-            feats = [sorted(features(reader.words(t or "", d))) for t, d in zip(b.column(2).to_pylist(), sure.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(feats, pa.list_(pa.string()))], names=["y", "weighs", "feats"])
+            for start, low, sure in lowered(b.column(2)):
+                feats = [sorted(features(reader.words(t, d))) for t, d in zip(low, sure, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(low)), b.column(1).slice(start, len(low)), pa.array(feats, pa.list_(pa.string()))], names=["y", "weighs", "feats"])
 
     return written(found.mapInArrow(work, "y int, weighs boolean, feats array<string>"), "labelled")
 
@@ -231,7 +252,14 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     cost = character_model(trigram_counts(docs, text))
     rows = labelled(docs, labels, cost, key, text, label, bound)
     weights = odds(rows)
-    fitted = [(r["y"], hits(set(r["feats"]), weights)) for r in rows.where("NOT weighs").toLocalIterator()]
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [hits(set(f), weights) for f in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in x], pa.float64()) for i in range(3))], names=["y", "best", "five", "many"])
+
+    # four numbers a row of the bounded sample
+    fitted = [(r[0], tuple(r[1:])) for r in rows.where("NOT weighs").select("y", "feats").mapInArrow(weighed, "y int, best double, five double, many double").orderBy("y", "best", "five", "many").collect()]
     classes = Counter(y for y, _ in fitted)
     if len(classes) == 2 and weights:
         model = logistic(np.array([x for _, x in fitted]), np.array([y for y, _ in fitted], float))
@@ -242,10 +270,10 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(cost)
         for b in batches:
-            sure = disguised_rows(b.column(1)).tolist()
-            x = [hits(features(reader.words(t or "", d)), weights) for t, d in zip(b.column(1).to_pylist(), sure, strict=True)]
-            p = 1 / (1 + np.exp(-np.clip(np.array(x).reshape(-1, 3) @ model[1:] + model[0], -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array(sure, pa.bool_())], names=["__key", "score", "disguised"])
+            for start, low, sure in lowered(b.column(1)):
+                x = [hits(features(reader.words(t, d)), weights) for t, d in zip(low, sure, strict=True)]
+                p = 1 / (1 + np.exp(-np.clip(np.array(x).reshape(-1, 3) @ model[1:] + model[0], -30, 30)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(low)), pa.array(p), pa.array(sure, pa.bool_())], names=["__key", "score", "disguised"])
 
     kind = dict(docs.dtypes)[key]
     out = docs.select(F.col(key), F.col(text)).mapInArrow(work, f"__key {kind}, score double, disguised boolean")

@@ -283,7 +283,18 @@ def test_disguised_words_are_restored(spark, sf_dir):
     cost = toxicity.character_model(toxicity.trigram_counts(read(spark, "/root/testdata/sf0.1", "documents")))
     for disguise, word in {"1d10t": "idiot", "stuuupid": "stupid", "m0r0n": "moron", "p4th3t1c": "pathetic", "cl0wn": "clown", "l0s3r": "loser"}.items():
         assert toxicity.restore(disguise, cost) == word
-    assert {"idiot", "stupid"} <= toxicity.Reader(cost).restored("the i d i o t and s-t-u-p-i-d")
+    reader = toxicity.Reader(cost)
+    assert {"idiot", "stupid"} <= reader.restored("the i d i o t and s-t-u-p-i-d")
+    # several words in one run, signs within it, and any length
+    assert "idiot" in reader.restored("t h e a n d i d i o t") and "idiot" in reader.restored("1 d 1 0 t")
+    assert "idiot" in reader.restored("i" * 30 + "d" * 300 + "iot") and "stupid" in reader.restored(" ".join("that this then " * 40 + "stupid").replace("   ", " "))
+    for text in ("st€ven", "cr" + "é" * 3 + "tin", "s h 1 t", "1 d 1 0 t", "a$$", "4$$h0l3", "p£ain", "plain words here", "x_y_z_w", "i.d.i.o.t", "é è é è", "a - b"):
+        for around in ("{}", "plain {} words", "é{}"):
+            low = around.format(text)
+            got = toxicity.disguised_rows(["quiet", low, "", "quiet too"]).tolist()
+            assert got[1] or not reader.restored(low), low
+            assert not (got[0] or got[2] or got[3])
+    assert toxicity.disguised_rows(["st€ven", "crééétin", "s h 1 t", "a$$"]).all() and not toxicity.disguised_rows(["ab", "cd"]).any()
 
 
 def plain_fingerprint(t, size=3):
