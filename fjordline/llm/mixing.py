@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from .work import written
 
 #: Rows in a block, exponent of source sizes that gives default weights, and rows in a bucket.
-BLOCK, SMOOTHING, BUCKET = 16, 0.5, 2048
+BLOCK, SMOOTHING, BUCKET = 16, 0.5, 512
 #: Least and most slots of a frame.
 FRAMES = (512, 65_536)
 MADE = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position", "in_mix")

@@ -92,10 +92,10 @@ def test_pieces(docs, none):
 
 def test_vectors(spark):
     nan = float("nan")
-    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.1]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [None, 1.0]), (8, [1.0]), (None, [1.0, 0.0]), (9, []), (10, [0.0, 1.0])]
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.1]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [None, 1.0]), (8, [1.0]), (11, [3.0]), (12, [-1.0]), (None, [1.0, 0.0]), (9, []), (10, [0.0, 1.0])]
     df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], "vec_id long, embedding array<float>, label int, n string")
     got = {(r.vec_id, r.n_links, r.component_id) for r in near_vectors.near_duplicates(df).collect()}
-    assert {(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 0, 4), (5, 0, 5), (6, 0, 6), (7, 0, 7), (8, 0, 8), (9, 0, 9), (10, 0, 10), (None, 0, None)} == got
+    assert {(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 0, 4), (5, 0, 5), (6, 0, 6), (7, 0, 7), (8, 1, 8), (11, 1, 8), (12, 0, 12), (9, 0, 9), (10, 0, 10), (None, 0, None)} == got
     assert near_vectors.near_duplicates(df.where("false")).count() == 0
 
 
