@@ -12,6 +12,10 @@ from ..functions.exprs import ratio
 from .panel import by_instrument
 
 
+#: Rows whose weights are taken relative to the first of them (``keep`` to this power must stay well above zero).
+EWMA_BLOCK = 256
+
+
 def pct_change(df: DataFrame, close: str = "close", into: str = "ret") -> DataFrame:
     return df.withColumn(into, (ratio(F.col(close), F.lag(close).over(by_instrument())) - 1) * 100)
 
@@ -22,13 +26,20 @@ def realized_vol(df: DataFrame, ret: str = "ret", rows: int = 20, least: int = 1
 
 
 def ewma_vol(df: DataFrame, ret: str = "ret", half_life: float = 60.0) -> DataFrame:
-    """(instrument, dt, vol): sqrt of the exponentially weighted mean of squared returns, seeded with the first one. The series of an
-    instrument is folded in order inside one array."""
-    a = 1 - 2 ** (-1 / half_life)
-    rows = df.where(F.col(ret).isNotNull()).groupBy("instrument").agg(F.array_sort(F.collect_list(F.struct("dt", F.col(ret).alias("r")))).alias("s"))
-    step = f"""aggregate(s, cast(array() AS array<struct<dt:date,v:double>>), (h, x) -> array_append(h, named_struct('dt', x.dt, 'v',
-        if(size(h) = 0, x.r * x.r, {1 - a!r}D * get(h, size(h) - 1).v + {a!r}D * x.r * x.r))))"""
-    return rows.select("instrument", F.explode(F.expr(step)).alias("e")).select("instrument", "e.dt", F.sqrt("e.v").alias("vol"))
+    """(instrument, dt, vol): sqrt of the exponentially weighted mean of squared returns, seeded with the first one. Blocks of ``EWMA_BLOCK`` rows are weighed each
+    by itself; one number a block is carried to the next."""
+    keep = 2 ** (-1 / half_life)
+    rows = df.where(F.col(ret).isNotNull()).select("instrument", "dt", (F.col(ret) * F.col(ret)).alias("q")).withColumn("k", F.row_number().over(by_instrument()) - 1)
+    rows = rows.withColumns({"block": F.floor(F.col("k") / EWMA_BLOCK), "at": F.col("k") % EWMA_BLOCK})
+    scaled = F.when(F.col("k") == 0, F.col("q")).otherwise((1 - keep) * F.col("q")) * F.pow(F.lit(keep), -F.col("at"))
+    w = Window.partitionBy("instrument", "block").orderBy("at")
+    rows = rows.withColumn("own", F.sum(scaled).over(w.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(keep), F.col("at")))
+    ends = rows.groupBy("instrument", "block").agg(F.max_by("own", "at").alias("own"), F.count("*").alias("n"))
+    ends = ends.groupBy("instrument").agg(F.array_sort(F.collect_list(F.struct("block", "own", "n"))).alias("s"))
+    carried = f"aggregate(s, struct(0D AS v, cast(array() AS array<double>) AS h), (a, x) -> struct(pow({keep!r}D, x.n) * a.v + x.own AS v, array_append(a.h, a.v) AS h), a -> a.h)"
+    carry = ends.select("instrument", F.posexplode(F.expr(carried)).alias("block", "carry"))
+    out = rows.join(carry, ["instrument", "block"])
+    return out.select("instrument", "dt", F.sqrt(F.col("carry") * F.pow(F.lit(keep), F.col("at") + 1) + F.col("own")).alias("vol"))
 
 
 def sequences(df: DataFrame, columns: list[str], length: int) -> DataFrame:
@@ -39,21 +50,24 @@ def sequences(df: DataFrame, columns: list[str], length: int) -> DataFrame:
 
 
 def _fit_garch(r: np.ndarray) -> tuple[float, float, float]:
-    """(omega, alpha, beta) of a Gaussian GARCH(1, 1) by quasi-likelihood over a grid that is refined twice."""
+    """(omega, alpha, beta) of a Gaussian GARCH(1, 1) by quasi-likelihood: a grid over the three that is halved around its best point; one pass over the
+    returns weighs all points of a grid."""
     v = r.var()
-    best, near = None, [(a, b) for a in (0.02, 0.05, 0.1, 0.2) for b in (0.6, 0.75, 0.85, 0.92)]
-    for width in (0.05, 0.02, 0.008):
-        for a, b in near:
-            if a <= 0 or b < 0 or a + b >= 0.999:
-                continue
-            omega, h, ll = v * (1 - a - b), v, 0.0
-            for x in r:
-                ll += np.log(h) + x * x / h
-                h = omega + a * x * x + b * h
-            if best is None or ll < best[0]:
-                best = (ll, omega, a, b)
-        _, _, a, b = best
-        near = [(a + i * width, b + j * width) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    best, centre, width = (np.inf, v, 0.0, 0.0), np.array([0.0, 0.1, 0.8]), np.array([1.0, 0.1, 0.2])
+    steps = np.stack(np.meshgrid(*[np.arange(-2, 3)] * 3, indexing="ij"), -1).reshape(-1, 3) / 2
+    for _ in range(12):
+        grid = centre + steps * width
+        grid = grid[(grid[:, 1] >= 0) & (grid[:, 2] >= 0) & (grid[:, 1] + grid[:, 2] < 0.9995)]
+        a, b = grid[:, 1], grid[:, 2]
+        omega = v * np.exp(grid[:, 0]) * (1 - a - b)
+        h, ll = np.full(len(grid), v), np.zeros(len(grid))
+        for x in r:
+            ll += np.log(h) + x * x / h
+            h = omega + a * x * x + b * h
+        i = int(np.argmin(ll))
+        if ll[i] < best[0]:
+            best, centre = (float(ll[i]), float(omega[i]), float(a[i]), float(b[i])), grid[i]
+        width = width * 0.6
     return best[1:]
 
 
@@ -79,5 +93,9 @@ def garch_vol(df: DataFrame, ret: str = "ret", first: int = 100, refit: int = 40
     return df.where(F.col(ret).isNotNull()).select("instrument", "dt", F.col(ret).alias("r")).groupBy("instrument").applyInPandas(work, "instrument string, dt date, sigma double")
 
 
-def unlimited(*order: str) -> Window:
-    return by_instrument(*order).rowsBetween(Window.unboundedPreceding, 0)
+def with_garch(panel: DataFrame, close: str = "close", realized: str = "feat_garch_realized_vol20_pct", sigma: str = "feat_garch_cond_sigma_pct") -> DataFrame:
+    """Append realised volatility and the held GARCH forecast; before an instrument's first fit the forecast is null."""
+    made = realized_vol(pct_change(panel, close, "_ret"), "_ret", into=realized)
+    fitted = garch_vol(made, "_ret").withColumnRenamed("sigma", sigma)
+    last = F.last(sigma, ignorenulls=True).over(by_instrument().rowsBetween(Window.unboundedPreceding, 0))
+    return made.join(fitted, ["instrument", "dt"], "left").withColumn(sigma, last).drop("_ret")

@@ -41,6 +41,11 @@ def holdout(df: DataFrame, n: str = "n", rn: str = "rn") -> DataFrame:
     return df.withColumn("is_test", F.col(rn) >= F.floor(F.col(n) / 2))
 
 
+def holdout_as_fold(df: DataFrame, n: str = "n", rn: str = "rn") -> DataFrame:
+    """The hold-out as fold 0, in the form of walk-forward rows."""
+    return holdout(df, n, rn).withColumn("fold", F.lit(0).cast("long"))
+
+
 def with_size(df: DataFrame, keys: tuple[str, ...] = ("instrument",)) -> DataFrame:
     return df.withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
 

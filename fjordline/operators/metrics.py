@@ -35,6 +35,23 @@ def log_loss_and_f1(preds: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, "log_loss", "tp", "fp", "fn", F.when(den > 0, 2 * F.col("tp") / den).otherwise(0.0).alias("f1"))
 
 
+def f1_macro(preds: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, f1): mean F1 over the classes that occur as label or prediction; a class without a hit counts as 0."""
+    sides = preds.select(*keys, F.explode(F.array(F.struct(F.col("y").cast("int").alias("c"), F.lit(1).alias("is_y")), F.struct(F.col("pred").cast("int").alias("c"), F.lit(0).alias("is_y")))).alias("s"), (F.col("y") == F.col("pred")).cast("int").alias("hit"))
+    by_class = sides.groupBy(*keys, "s.c").agg((2 * F.sum(F.col("hit") * F.col("s.is_y")) / F.count("*")).alias("f"))
+    return by_class.groupBy(*keys).agg(F.avg("f").alias("f1"))
+
+
+def result_rows(preds: DataFrame, keys: list[str], lead: int, target: str, n_features: int) -> DataFrame:
+    """One row of results for each of ``keys`` (model and instrument among them): metrics of the training and the test part of ``preds`` (is_test) in the fixed schema."""
+    by = [*keys, "is_test"]
+    parts = accuracy(preds, by).join(roc_auc(preds, by), by).join(log_loss_and_f1(preds, by), by)
+    names = ("accuracy", "balanced_accuracy", "roc_auc", "log_loss", "f1")
+    own = lambda test, c: F.max(F.when(F.col("is_test") == test, F.col(c)))
+    wide = parts.groupBy(*keys).agg(own(False, "n").cast("int").alias("n_train"), own(True, "n").cast("int").alias("n_test"), *(own(t, m).alias(f"{p}_{m}") for p, t in (("train", False), ("test", True)) for m in names))
+    return wide.withColumns({"lead": F.lit(lead), "target": F.lit(target), "n_features": F.lit(n_features), "extra": F.lit(None).cast("map<string,string>")})
+
+
 def ensemble_mean(preds: DataFrame, row: list[str]) -> DataFrame:
     """Mean of the members' probabilities; needs two members; ties go to the lowest class."""
     df = preds.groupBy(*row).agg(F.avg("p0").alias("p0"), F.avg("p1").alias("p1"), F.count("*").alias("members"), F.min("y").alias("y"), F.min("forward_r").alias("forward_r"))

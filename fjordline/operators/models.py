@@ -7,6 +7,8 @@ they are approximations and carry names of their own.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
@@ -43,6 +45,24 @@ def prepare(train: np.ndarray, rest: np.ndarray, variance: float | None = None)
     return train @ v.T, rest @ v.T
 
 
+def components(train: np.ndarray, rest: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Imputed and scaled columns turned into min(k, columns, rows - 2) principal components, scaled again, and the share of variance they keep."""
+    train, rest = prepare(train, rest)
+    _, s, v = np.linalg.svd(train, full_matrices=False)
+    k = max(1, min(k, train.shape[1], max(1, len(train) - 2), len(s)))
+    v = v[:k] * np.sign(np.take_along_axis(v[:k], np.abs(v[:k]).argmax(1)[:, None], 1))
+    share = float((s[:k] ** 2).sum() / max((s**2).sum(), 1e-300))
+    a, b = train @ v.T, rest @ v.T
+    sd = a.std(0)
+    sd[sd == 0] = 1
+    return a / sd, b / sd, share
+
+
+def few_components(rows: int, columns: int) -> int:
+    """Components for the unpenalised models where no global reduction is on."""
+    return min(40, columns, max(8, rows // 4))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 60) -> np.ndarray:
     """Newton for 0.5 |w|^2 + C sum(weight * loss), intercept free, balanced weights."""
     x, weight = np.hstack([np.ones((len(x), 1)), x]), c * balanced(y)
@@ -61,6 +81,108 @@ def chance(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -35, 35)))
 
 
+def unpenalised(x: np.ndarray, y: np.ndarray, link: str = "logit", rounds: int = 100) -> tuple[np.ndarray, float]:
+    """(coefficients with the intercept first, McFadden's pseudo R2) of a binary model by Fisher scoring; ``link`` is logit or probit."""
+    x = np.hstack([np.ones((len(x), 1)), x])
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p, slope = _linked(x @ w, link)
+        weight = slope**2 / (p * (1 - p))
+        step = np.linalg.lstsq(x.T @ (x * weight[:, None]) + 1e-9 * np.eye(x.shape[1]), x.T @ (slope * (y - p) / (p * (1 - p))), rcond=None)[0]
+        w += step
+        if np.abs(step).max() < 1e-9 or np.abs(w).max() > 1e3:
+            break
+    p, base = _linked(x @ w, link)[0], np.clip(y.mean(), 1e-12, 1 - 1e-12)
+    ll = lambda q: float((y * np.log(q) + (1 - y) * np.log(1 - q)).sum())
+    return w, 1 - ll(p) / ll(np.full(len(y), base))
+
+
+def _linked(z: np.ndarray, link: str) -> tuple[np.ndarray, np.ndarray]:
+    """(probability, its slope) at the linear predictor."""
+    if link == "probit":
+        z = np.clip(z, -7, 7)
+        p = np.array([0.5 * math.erfc(-t / math.sqrt(2)) for t in z])
+        return np.clip(p, 1e-12, 1 - 1e-12), np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return np.clip(p, 1e-12, 1 - 1e-12), p * (1 - p)
+
+
+def _by_logistic(a, y, b, k):
+    x, z, share = components(a, b, k)
+    return chance(z, logistic(x, y)), {"explained_variance": share, "k": float(x.shape[1])}
+
+
+def _by_link(link: str):
+    def fit(a, y, b, k):
+        x, z, share = components(a, b, k or few_components(*a.shape))
+        w, pseudo = unpenalised(x, y, link)
+        return _linked(np.hstack([np.ones((len(z), 1)), z]) @ w, link)[0], {"pseudo_r2": pseudo, "explained_variance": share, "k": float(x.shape[1])}
+
+    return fit
+
+
+def _by_variance(a, y, b, k):
+    x, z = prepare(a, b, 0.95)
+    return chance(z, logistic(x, y)), {"k": float(x.shape[1])}
+
+
+#: Small models that are fitted once a group, by name: (training columns, labels, test columns, components of a global reduction or 0) to (p1, figures).
+FITS = {"Global PCA + logistic": lambda a, y, b, k: _by_logistic(a, y, b, k or a.shape[1]), "PCA + logistic": _by_variance, "Logit": _by_link("logit"), "Probit": _by_link("probit")}
+FITTED = PREDICTION + ", is_test boolean, status string, figures map<string,double>"
+
+
+def included(names: list[str] | None) -> list[str]:
+    """The models of ``FITS`` that are asked for: all of them for none, else those whose names are listed, blanks around them aside."""
+    wanted = {n.strip() for n in names or () if n and n.strip()}
+    return [n for n in FITS if not wanted or n in wanted]
+
+
+def fit_models(rows: DataFrame, features: list[str], names: list[str] | None = None, k: int = 0, keys: tuple[str, ...] = ("instrument", "fold")) -> DataFrame:
+    """Predictions of every included model for training and test rows of each group, with a status: a group that can't be fitted, or no model by these names, gives one row that says so."""
+    chosen = included(names)
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["is_test", "dt"])
+        train, first = pdf[~pdf.is_test], pdf.iloc[[0]]
+        out = []
+        say = lambda model, status: out.append(pd.DataFrame({"fold": first.fold, "model": model, "instrument": first.instrument, "status": status}))
+        if not chosen:
+            say(None, "No models (check models_include)")
+        for name in chosen:
+            if train.y.nunique() < 2 or len(train) == len(pdf):
+                say(name, "one class or no test rows")
+                continue
+            try:
+                p, figures = FITS[name](train[features].to_numpy(float), train.y.to_numpy(float if name in ("Logit", "Probit") else int), pdf[features].to_numpy(float), k)
+            except np.linalg.LinAlgError as e:
+                say(name, str(e))
+                continue
+            made = pdf[["fold", "instrument", "dt", "y", "forward_r", "is_test"]].assign(model=name, p0=1 - p, p1=p, pred=(p > 0.5).astype(int), status="ok")
+            out.append(made.assign(figures=[figures] * len(made)))
+        made = pd.concat(out).reindex(columns=[c.split()[0] for c in FITTED.replace("map<string,double>", "map").split(", ")]).astype(object)
+        return made.where(made.notna(), None)
+
+    return rows.select("instrument", "fold", "is_test", "dt", "y", "forward_r", *features).groupBy(*keys).applyInPandas(work, FITTED)
+
+
+def fit_steps(rows: DataFrame, features: list[str], pool: int, keys: tuple[str, ...] = ("instrument", "fold")) -> DataFrame:
+    """Batches forecast one step at a time: each test row of a group by a logistic model refitted on the ``pool`` rows before it, with the C in column ``c`` and the name in ``champion``."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("dt").reset_index(drop=True)
+        out = []
+        for i in pdf.index[pdf.is_test]:
+            past, row = pdf.iloc[max(0, i - pool) : i], pdf.iloc[[i]]
+            if past.y.nunique() < 2:
+                continue
+            a, b = prepare(past[features].to_numpy(float), row[features].to_numpy(float))
+            p = chance(b, logistic(a, past.y.to_numpy(int), float(row.c.iloc[0])))
+            out.append(pd.DataFrame({"fold": row.fold, "model": row.champion, "instrument": row.instrument, "dt": row.dt, "y": row.y, "forward_r": row.forward_r, "p0": 1 - p, "p1": p, "pred": (p > 0.5).astype(int)}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["fold", "model", "instrument", "dt", "y", "forward_r", "p0", "p1", "pred"])
+
+    return rows.select("instrument", "fold", "is_test", "dt", "y", "forward_r", "c", "champion", *features).groupBy(*keys).applyInPandas(work, PREDICTION)
+
+
 def fit_folds(rows: DataFrame, features: list[str], name: str, c: float = 1.0, variance: float | None = None, keys: tuple[str, ...] = ("instrument", "fold")) -> DataFrame:
     """One logistic fit a (instrument, fold) of walk-forward rows; folds whose training labels have one class give no rows."""
 
@@ -107,8 +229,14 @@ def weighted(train: DataFrame) -> DataFrame:
     return train.withColumn("weight", value)
 
 
-def fit_panel(train: DataFrame, test: DataFrame, features: list[str], kind: str, seed: int = 42) -> DataFrame:
-    """Fit one Spark ML classifier on ``train`` and predict ``test`` (binary labels ``y``)."""
+#: Full sizes of the larger models, and the reduced ones of the registered queries.
+FULL = {"trees": 300, "depth": 12, "rounds": 200, "fine_depth": 6, "layers": (128, 64), "epochs": 400}
+REDUCED = {"trees": 60, "depth": 8, "rounds": 30, "fine_depth": 4, "layers": (32, 16), "epochs": 60}
+
+
+def fit_panel(train: DataFrame, test: DataFrame, features: list[str], kind: str, seed: int = 42, size: dict | None = None) -> DataFrame:
+    """Fit one Spark ML classifier on ``train`` and predict ``test`` (binary labels ``y``); ``size`` is ``FULL`` or less."""
+    size = {**FULL, **(size or {})}
     train, test = weighted(_vectors(train, features)), _vectors(test, features)
     common = {"labelCol": "y", "featuresCol": "features"}
     if kind == "logit":
@@ -117,13 +245,13 @@ def fit_panel(train: DataFrame, test: DataFrame, features: list[str], kind: str,
         n = train.count()
         model = LogisticRegression(regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=100, **common).fit(train)
     elif kind == "random_forest":
-        model = RandomForestClassifier(numTrees=60, maxDepth=8, seed=seed, weightCol="weight", **common).fit(train)
+        model = RandomForestClassifier(numTrees=size["trees"], maxDepth=size["depth"], seed=seed, weightCol="weight", **common).fit(train)
     elif kind == "boosted_trees":
-        model = GBTClassifier(maxIter=30, maxDepth=3, seed=seed, weightCol="weight", **common).fit(train)
+        model = GBTClassifier(maxIter=size["rounds"], maxDepth=3, seed=seed, weightCol="weight", **common).fit(train)
     elif kind == "boosted_trees_fine":
-        model = GBTClassifier(maxIter=30, maxDepth=4, maxBins=255, stepSize=0.1, seed=seed, weightCol="weight", **common).fit(train)
+        model = GBTClassifier(maxIter=size["rounds"], maxDepth=size["fine_depth"], maxBins=255, stepSize=0.1, seed=seed, weightCol="weight", **common).fit(train)
     elif kind == "perceptron":
-        model = MultilayerPerceptronClassifier(layers=[len(features), 32, 16, 2], maxIter=60, seed=seed, **common).fit(train)
+        model = MultilayerPerceptronClassifier(layers=[len(features), *size["layers"], 2], maxIter=size["epochs"], seed=seed, **common).fit(train)
     elif kind == "probit":
         model = GeneralizedLinearRegression(family="binomial", link="probit", maxIter=100, **common).fit(train)
         out = model.transform(test).withColumn("p1", F.col("prediction"))
@@ -188,8 +316,10 @@ def tune_origins(rows: DataFrame, features: list[str], grid: dict[str, float], t
     return rows.select("instrument", "fold", "is_test", "dt", "y", "forward_r", *features).groupBy(*keys).applyInPandas(work, PREDICTION)
 
 
-def forecast_last(rows: DataFrame, features: list[str], c: float = 1.0) -> DataFrame:
-    """(instrument, feature_date, p_sell, p_buy): fit on the labelled history, forecast the newest row, which has no label yet."""
+def forecast_last(rows: DataFrame, features: list[str], c: float | str = 1.0) -> DataFrame:
+    """(instrument, feature_date, p_sell, p_buy): fit on the labelled history, forecast the newest row, which has no label yet. ``c`` is a number or a column that
+    holds each instrument's own."""
+    rows = rows.withColumn("_c", F.col(c) if isinstance(c, str) else F.lit(float(c)))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("dt")
@@ -197,7 +327,7 @@ def forecast_last(rows: DataFrame, features: list[str], c: float = 1.0) -> DataF
         if known.y.nunique() < 2:
             return pd.DataFrame(columns=["instrument", "feature_date", "n_train", "p_sell", "p_buy"])
         a, b = prepare(known[features].to_numpy(float), last[features].to_numpy(float))
-        p = chance(b, logistic(a, known.y.to_numpy(int), c))
+        p = chance(b, logistic(a, known.y.to_numpy(int), float(last._c.iloc[0])))
         return pd.DataFrame({"instrument": last.instrument, "feature_date": last.dt, "n_train": len(known), "p_sell": 1 - p, "p_buy": p})
 
-    return rows.select("instrument", "dt", "y", *features).groupBy("instrument").applyInPandas(work, "instrument string, feature_date date, n_train long, p_sell double, p_buy double")
+    return rows.select("instrument", "dt", "y", "_c", *features).groupBy("instrument").applyInPandas(work, "instrument string, feature_date date, n_train long, p_sell double, p_buy double")

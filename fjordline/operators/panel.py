@@ -71,6 +71,23 @@ def kept_columns(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if row["n"] and row[c] and row[c] / row["n"] >= least]
 
 
+def columns_like(df: DataFrame, prefixes: tuple[str, ...], drop_suffixes: tuple[str, ...] = ("_close",)) -> list[str]:
+    return [c for c in df.columns if c.startswith(prefixes) and not c.endswith(drop_suffixes)]
+
+
+def drop_empty_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` without those of ``columns`` that hold no value, found in one aggregation."""
+    row = df.agg(*(F.count(f"`{c}`").alias(c) for c in columns)).first()
+    return df.drop(*(c for c in columns if not row[c]))
+
+
+def until_session(df: DataFrame, utc: Column) -> DataFrame:
+    """Rows on or before the session day whose data are complete at ``utc``."""
+    from .calendar import new_york, session_dates
+
+    return df.where(F.col("dt") <= session_dates(new_york(utc))[0])
+
+
 def usable_rows(df: DataFrame, features: list[str], label: str = "y", forward: str = "forward_r", keep_unlabelled: bool = False) -> DataFrame:
     some = F.greatest(*(F.col(c).isNotNull().cast("int") for c in features), F.lit(0), F.lit(0))
     ok = some == 1

@@ -339,3 +339,33 @@ def diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     f = T.predictions(spark, sf).groupBy(*KEYS, "fold").agg(F.countDistinct("y").alias("k"), F.avg("pred").alias("a"))
     status = F.when(F.col("k") < 2, "single_class").when(F.col("a").isin(0.0, 1.0), "constant_forecast").otherwise("ok")
     return f.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "f1_macro",
+    f"""WITH {T.predictions_sql(20)}, t AS (SELECT instrument, model, CASE WHEN forward_r < -0.005 THEN 0 WHEN forward_r <= 0.005 THEN 1 ELSE 2 END AS y, CASE WHEN p1 < 0.4 THEN 0 WHEN p1 <= 0.6 THEN 1 ELSE 2 END AS pred FROM preds),
+s AS (SELECT instrument, model, y AS c, 1 AS is_y, CAST(y = pred AS INTEGER) AS hit FROM t UNION ALL SELECT instrument, model, pred, 0, CAST(y = pred AS INTEGER) FROM t),
+k AS (SELECT instrument, model, c, 2 * sum(hit * is_y) / count(*) AS f FROM s GROUP BY 1, 2, 3) SELECT instrument, model, round(avg(f), 6) AS f1 FROM k GROUP BY 1, 2""",
+)
+def f1_macro(spark: SparkSession, sf: str) -> DataFrame:
+    """Three classes: moves beyond half a percent either way against probabilities beyond 0.4 and 0.6."""
+    pred = F.when(F.col("p1") < 0.4, 0).when(F.col("p1") <= 0.6, 1).otherwise(2)
+    return r6(metrics.f1_macro(T.predictions(spark, sf, 20).withColumns({"y": targets.ternary_label(F.col("forward_r")), "pred": pred}), KEYS), "f1")
+
+
+@query(
+    "result_rows",
+    f"""WITH {T.signals_sql()}, h AS (SELECT *, rn >= (count(*) OVER (PARTITION BY instrument, model)) // 2 AS is_test FROM sig),
+c AS (SELECT model, instrument, is_test, y, count(*) AS n, sum(CAST(pred = y AS INT)) AS hit FROM h GROUP BY 1, 2, 3, 4),
+a AS (SELECT model, instrument, is_test, sum(n) AS n, sum(hit) / sum(n) AS acc, avg(hit / n) AS bal FROM c GROUP BY 1, 2, 3),
+f AS (SELECT model, instrument, is_test, 2 * sum(CAST(pred = 1 AND y = 1 AS INT)) / greatest(1, sum(pred) + sum(y)) AS f1 FROM h GROUP BY 1, 2, 3)
+SELECT model, instrument, 1 AS lead, 'binary' AS target, CAST(sum(CASE WHEN NOT is_test THEN n END) AS INTEGER) AS n_train, CAST(sum(CASE WHEN is_test THEN n END) AS INTEGER) AS n_test, 1 AS n_features,
+  round(max(CASE WHEN NOT is_test THEN acc END), 6) AS train_accuracy, round(max(CASE WHEN is_test THEN acc END), 6) AS test_accuracy, round(max(CASE WHEN NOT is_test THEN bal END), 6) AS train_balanced_accuracy,
+  round(max(CASE WHEN is_test THEN bal END), 6) AS test_balanced_accuracy, round(max(CASE WHEN NOT is_test THEN f1 END), 6) AS train_f1, round(max(CASE WHEN is_test THEN f1 END), 6) AS test_f1
+FROM a JOIN f USING (model, instrument, is_test) GROUP BY 1, 2""",
+)
+def result_rows(spark: SparkSession, sf: str) -> DataFrame:
+    df = folds.holdout(folds.with_size(T.signals(spark, sf), tuple(KEYS)))
+    out = metrics.result_rows(df, ["model", "instrument"], 1, "binary", 1)
+    names = [f"{p}_{m}" for m in ("accuracy", "balanced_accuracy", "f1") for p in ("train", "test")]
+    return r6(out.select("model", "instrument", "lead", "target", "n_train", "n_test", "n_features", *names), *names)

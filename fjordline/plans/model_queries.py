@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, folds, models, targets, tune
+from ..operators import backtest, features, folds, metrics, models, targets, tune
 from ..operators.panel import by_instrument
 from . import tables as T
 from .panel_queries import r6
@@ -45,7 +45,7 @@ def _fit(name: str, kind: str):
     @query(name)
     def run(spark: SparkSession, sf: str) -> DataFrame:
         train, test = halves(spark, sf)
-        return r6(models.fit_panel(train, test, FEATURES, kind), "p0", "p1")
+        return r6(models.fit_panel(train, test, FEATURES, kind, size=models.REDUCED), "p0", "p1")
 
     return run
 
@@ -77,18 +77,51 @@ GRID = {"LogReg C=0.25": 0.25, "LogReg C=1.0": 1.0, "LogReg C=4.0": 4.0}
 
 @query("tune_batch")
 def tune_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """Score the variants on each batch's inner window (200 + 50 rows), choose sticky champions, and forecast the next 25 rows with the
-    champion refitted on the window."""
-    scored = walk(spark, sf, folds.FoldSpec(window=250, step=25)).withColumnRenamed("fold", "batch").withColumn("run", F.col("instrument"))
-    best = tune.champions(models.score_variants(scored, FEATURES, GRID, ["run", "batch"]))
+    """Score the variants on each batch's inner window (200 + 50 rows), choose sticky champions, and forecast the next 25 rows one by one, the
+    champion being refitted at every step on the 250 rows before."""
+    best = batch_champions(spark, sf)
     # the deployment window: 250 rows to fit on, then the 25 rows of the batch
     deploy = walk(spark, sf, folds.FoldSpec(window=275, train_share=250 / 275, step=25)).withColumn("run", F.col("instrument"))
-    out = None
-    for name, c in GRID.items():
-        own = best.where(F.col("champion") == name).select("run", F.col("batch").alias("fold"))
-        part = models.fit_folds(deploy.join(own, ["run", "fold"], "left_semi"), FEATURES, name, c)
-        out = part if out is None else out.unionByName(part)
-    return r6(out, "p0", "p1", "forward_r")
+    chosen = best.select("run", F.col("batch").alias("fold"), "champion", size_of("champion").alias("c"))
+    return r6(models.fit_steps(deploy.join(chosen, ["run", "fold"]), FEATURES, 250), "p0", "p1", "forward_r")
+
+
+def size_of(champion: str):
+    """The C of a variant of ``GRID`` by its name."""
+    return F.create_map(*(F.lit(x) for pair in GRID.items() for x in pair))[F.col(champion)]
+
+
+def batch_champions(spark: SparkSession, sf: str) -> DataFrame:
+    scored = walk(spark, sf, folds.FoldSpec(window=250, step=25)).withColumnRenamed("fold", "batch").withColumn("run", F.col("instrument"))
+    return tune.champions(models.score_variants(scored, FEATURES, GRID, ["run", "batch"]))
+
+
+@query("fit_models_folds")
+def fit_models_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """Global PCA, PCA, logit and probit models fold by fold, with their pseudo R2 and explained variance; failed fits are rows with a status."""
+    return r6(models.fit_models(walk(spark, sf, folds.FoldSpec()), FEATURES, k=4), "p0", "p1", "forward_r").drop("figures")
+
+
+@query("model_results")
+def model_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Fitted probabilities through metrics: one row of results for each model and instrument on the hold-out."""
+    df = folds.holdout_as_fold(folds.with_size(panel(spark, sf)))
+    made = models.fit_models(df, FEATURES, k=4).where("status = 'ok'")
+    out = metrics.result_rows(made, ["model", "instrument"], 1, "binary", len(FEATURES)).drop("extra")
+    return r6(out, *(c for c, t in out.dtypes if t == "double"))
+
+
+@query("model_backtest")
+def model_backtest(spark: SparkSession, sf: str) -> DataFrame:
+    """Fitted probabilities and their mean ensemble through stitching, positions and risk statistics."""
+    made = models.fit_models(walk(spark, sf, folds.FoldSpec()), FEATURES, k=4).where("status = 'ok' AND is_test")
+    row = ["instrument", "fold", "dt"]
+    mean = metrics.ensemble_mean(made, row).withColumn("model", F.lit("Ensemble mean"))
+    names = ["instrument", "model", "fold", "dt", "y", "forward_r", "p0", "p1", "pred"]
+    every = backtest.stitched(made.select(*names).unionByName(mean.select(*names)), ["instrument", "model"])
+    every = every.withColumn("position", backtest.binary_position(F.col("p0"), F.col("p1"))).withColumn("strat", F.col("position") * F.col("forward_r"))
+    out = backtest.risk_stats(every, ["instrument", "model"])
+    return r6(out, *(c for c, t in out.dtypes if t == "double"))
 
 
 @query("embedding_classifier")
@@ -118,7 +151,7 @@ def tune_origins(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("daily_signals")
 def daily_signals(spark: SparkSession, sf: str) -> DataFrame:
-    """The signal sheet: gated runs, the newest row of each, a fit on its last 1000 labelled rows, side and target day."""
+    """The signal sheet: gated runs, the newest row of each, a fit of its latest champion on its last 1000 labelled rows, side and target day, best first."""
     from ..operators import calendar, panel as P, select
     from .eval_queries import runs
 
@@ -126,7 +159,10 @@ def daily_signals(spark: SparkSession, sf: str) -> DataFrame:
     df = features.realized_vol(features.pct_change(T.level(spark, sf), "px"), rows=20)
     df = df.withColumns({"ret1": F.col("ret"), "ret2": F.lag("ret", 1).over(w), "ret3": F.lag("ret", 2).over(w), "gap": F.col("px") / F.avg("px").over(w.rowsBetween(-19, 0)) - 1})
     df = df.withColumn("y", targets.binary_label(targets.forward_return(1, "px"))).where("vol IS NOT NULL")
-    made = models.forecast_last(P.last_rows(df, 1001), FEATURES)
+    latest = batch_champions(spark, sf).groupBy("run").agg(F.max_by("champion", "batch").alias("champion"))
+    own = latest.select(F.col("run").alias("instrument"), F.coalesce(size_of("champion"), F.lit(1.0)).alias("c"))
+    rows = P.last_rows(df, 1001).join(own, "instrument", "left").withColumn("c", F.coalesce("c", F.lit(1.0)))
+    made = models.forecast_last(rows, FEATURES, "c")
     gated = select.gate(runs(spark, sf), 0.5, "close").select("run", "acc")
     out = made.join(gated, F.col("instrument") == F.col("run")).withColumn("pred", (F.col("p_buy") > 0.5).cast("int"))
     out = out.withColumn("recommendation", select.recommendation(F.col("pred"), F.col("acc"))).withColumn("target_date", calendar.forecast_date(F.col("feature_date"), 1))

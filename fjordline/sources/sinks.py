@@ -30,8 +30,11 @@ def append_runs(rows: DataFrame, path: str) -> None:
 
 
 def extra_json(columns: list[str], most: int = 8000):
-    """Further columns of a result row as JSON text of bounded length."""
-    return F.substring(F.to_json(F.struct(*columns)), 1, most)
+    """Further columns of a result row as JSON text of at most ``most`` characters: whole fields from the first on, as long as there is room."""
+    fields = F.array(*(F.substring(F.to_json(F.struct(c)), 2, 1 << 30) for c in columns))
+    parts = F.filter(F.transform(fields, lambda x: F.left(x, F.length(x) - 1)), lambda x: F.length(x) > 0)
+    fits = F.aggregate(parts, F.lit(""), lambda a, x: F.when(F.length(a) + F.length(x) + 3 <= most, F.concat_ws(",", F.nullif(a, F.lit("")), x)).otherwise(a))
+    return F.concat(F.lit("{"), fits, F.lit("}"))
 
 
 def ascii_text(x):

@@ -41,7 +41,12 @@ def latest_bars(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="fjordline-")
+    """A new folder under ``spark.checkpoint.dir``; where that is unset, one of this machine, which only a local session can use."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="fjordline-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -21,7 +21,10 @@ def test_text_forms(spark):
     df = spark.createDataFrame([("“a” – 漢", 1.23456, None)], "s string, x double, y double")
     assert df.select(sinks.ascii_text(F.col("s"))).first()[0] == '"a" - ?'
     assert sinks.markdown_rows(df.select("x", "y"), ["x", "y"]).first().line == "| 1.235 | NA |"
-    assert df.select(sinks.extra_json(["x"], 6)).first()[0] == '{"x":1'
+    df = spark.createDataFrame([(1, "a" * 50, 2.5, None)], "x int, long string, z double, n int")
+    assert df.select(sinks.extra_json(["x", "long", "z", "n"], 30)).first()[0] == '{"x":1,"z":2.5}'
+    assert df.select(sinks.extra_json(["x", "long", "n"])).first()[0] == '{"x":1,"long":"%s"}' % ("a" * 50)
+    assert df.select(sinks.extra_json(["n"], 5)).first()[0] == "{}"
 
 
 def test_endorsement_document(spark, tmp_path):
