@@ -9,7 +9,7 @@ A walk reads the levels as scalar subqueries while their checked total is at mos
 segments are joined on the segment number (uniform by hash), so nothing of unbounded size is broadcast.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and is never listed (allow);
-repeated urls get the same verdict; an empty table or an empty list gives allow everywhere; other columns pass through.
+repeated urls get the same verdict; an empty table or an empty list gives allow everywhere; other columns pass through, but for columns named host, path, rule, verdict and listed, which are replaced.
 """
 
 from __future__ import annotations
@@ -115,6 +115,7 @@ def _with_words(rows: DataFrame, level: Level, key: str, scalar: bool) -> tuple[
 
 def _holds(rows: DataFrame, level: Level, key: str, into: str, scalar: bool) -> DataFrame:
     rows, words = _with_words(rows, level, key, scalar)
+    # the same subquery stands in every probe and runs once; as a column of its own, its 16 KB would be copied into each row
     return rows.withColumn(into, F.coalesce(level.holds(key, words), F.lit(False))).drop("__at", "__seg", "__words")
 
 

@@ -363,6 +363,35 @@ def test_fingerprints_and_components(spark, sf_dir, texts):
     assert got == {k: (f"{v:016x}", root(k)) for k, v in want.items()}
 
 
+def test_the_whole_pipeline(spark, sf_dir, texts):
+    """Every stage against plain Python: what quality rules keep, groups of near copies by brute force, secrets gone, texts whole, places in the mix."""
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    kept = [r.doc_id for r in queries.op10_quality_rules(spark, sf_dir).where("kept").collect()]
+    grams = {}
+    for i in kept:
+        w = texts[i].lower().split()
+        grams[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = {i: i for i in kept}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in sorted(kept):
+        for b in sorted(kept):
+            if b < a and min(len(grams[a]), len(grams[b])) >= 0.8 * max(len(grams[a]), len(grams[b])) and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                ra, rb = sorted((find(a), find(b)))
+                root[rb] = ra
+    want = {i for i in kept if find(i) == i}
+    assert want <= set(out) <= set(kept) and len(set(out) - want) <= max(1, 0.02 * (len(kept) - len(want)))
+    p = pieces.Pieces(pieces.read_model())
+    for i, r in out.items():
+        clean = secrets.redacted(texts[i], secrets.all_spans(texts[i])[1])
+        assert r.text == clean and r.lossless and p.decode(r.piece_ids) == clean and r.n_chars == len(clean)
+    assert len({(r.mix_part, r.mix_row) for r in out.values()}) == len(out) and all(r.mix_part is not None for r in out.values())
+
+
 def test_every_pair_within_two_bits_meets_at_an_anchor():
     rng = np.random.default_rng(7)
     x = rng.integers(-(2**63), 2**63 - 1, 500, dtype=np.int64)
