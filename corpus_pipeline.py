@@ -43,6 +43,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def placed(docs: DataFrame) -> DataFrame:
     """``docs``, read from the files of a mixed table, with the number of its file and its row in that file (null for rows that come from no file)."""
+    docs = docs.drop("mix_part", "mix_row")
     if not docs.inputFiles():
         return docs.withColumns({"mix_part": F.lit(None).cast("int"), "mix_row": F.lit(None).cast("long")})
     part = F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).cast("int")
