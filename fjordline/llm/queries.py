@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_vectors, pieces, pii, quality_rules, secrets, simhash, toxicity, url_filter, warc
+from . import importance, language, mixing, near_vectors, pieces, pii, prefix_trie, quality_rules, secrets, simhash, toxicity, url_filter, warc
 from .work import read
 
 URL_RULES = [
@@ -102,6 +102,55 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
+def _crc32(raw: str) -> str:
+    """crc32 of a blob in DuckDB: each byte is followed by eight markers, one for each bit to be shifted out."""
+    steps = f"flatten(list_transform(range(0, octet_length({raw})), lambda i: [CAST('0x' || substr(hex({raw}), 2 * i + 1, 2) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), lambda c, x: {step}), 4294967295)"
+
+
+OP12_SQL = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, {{'r': coalesce(role, ''), 't': coalesce("text", '')}} AS x FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT conv_id, encode(CAST(conv_id AS VARCHAR)) AS raw FROM t GROUP BY 1), h AS (SELECT conv_id, {_crc32("raw")} % 4 AS h FROM i),
+r AS (SELECT h.conv_id, 0 AS part, b.pos, b.x FROM h JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 20 AND b.pos <= h.h UNION ALL SELECT h.conv_id, 1, t.pos, t.x FROM h JOIN t ON t.conv_id = h.conv_id AND t.pos > h.h),
+l AS (SELECT h.conv_id, coalesce(list(r.x ORDER BY r.part, r.pos) FILTER (r.x IS NOT NULL), []) AS s FROM h LEFT JOIN r ON r.conv_id = h.conv_id GROUP BY 1),
+p AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM l), q AS (SELECT conv_id, depth, list_slice(s, 1, depth) AS k, len(s) = depth AS ended FROM p),
+n AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256 FROM q GROUP BY 1, 2),
+c AS (SELECT list_slice(k, 1, depth - 1) AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+v AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children, (n_convs - 1) * CASE WHEN n.depth = 0 THEN 0 ELSE len(regexp_extract_all(n.k[n.depth].t, '[^\x20\x09-\x0D]+')) END AS saved FROM n LEFT JOIN c ON c.k = n.k),
+a AS (SELECT k, unnest(range(0, depth + 1)) AS d, CAST(n_children = 0 AS BIGINT) AS leaf, saved FROM v), s AS (SELECT list_slice(k, 1, d) AS k, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM a GROUP BY 1)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN s ON s.k = v.k LEFT JOIN n u ON v.depth > 0 AND u.k = list_slice(v.k, 1, v.depth - 1)
+"""
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS f FROM documents),
+e AS (SELECT regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS f FROM benchmark),
+x AS (SELECT doc_id, unnest(f) AS w FROM d), y AS (SELECT unnest(f) AS w FROM e), u AS (SELECT w, encode(w) AS raw FROM (SELECT w FROM x UNION SELECT w FROM y)),
+b AS (SELECT w, {_crc32("raw")} % 10000 AS bucket FROM u), s AS (SELECT bucket, count(*) AS s FROM x JOIN b USING (w) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM y JOIN b USING (w) GROUP BY 1),
+g AS (SELECT b.w, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM x) + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM y) + 10000)))) AS BIGINT) AS gain FROM b LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+m AS (SELECT doc_id, count(*) AS n, sum(gain) AS total FROM x JOIN g USING (w) GROUP BY 1),
+z AS (SELECT d.doc_id, CAST(len(f) AS BIGINT) AS n_features, coalesce(CAST((total - ((total % n) + n) % n) // n AS BIGINT), 0) AS weight, CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN m USING (doc_id)),
+k AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM z),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS fit FROM k)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * fit // 100 THEN place END AS rank FROM o
+"""
+
+
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts that the quality rules rest on, which SQL can express."""
     judged = quality_rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
@@ -132,6 +181,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
+    "op11_language": op11_language,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_importance": op13_importance,
     "quality_counts": quality_counts,
 }
-ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op2_near_vectors": OP2_SQL, "op3_warc": OP3_SQL, "quality_counts": COUNTS_SQL}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op2_near_vectors": OP2_SQL, "op3_warc": OP3_SQL, "op12_prefix_trie": OP12_SQL, "op13_importance": OP13_SQL, "quality_counts": COUNTS_SQL}
