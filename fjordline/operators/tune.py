@@ -15,17 +15,19 @@ def _all_variants() -> list[tuple[str, str, dict[str, float]]]:
     out = [("LogReg", f"LogReg C={c}", {"C": c}) for c in (0.25, 1.0, 4.0)]
     out += [("HGB", f"HGB md={d} mi={i} lr={r}", {"md": d, "mi": i, "lr": r}) for d, i, r in product((4, 7), (100, 160), (0.06, 0.1))]
     out += [("RF", f"RF md={d} n={n}", {"md": d, "n": n}) for d, n in product((8, 12), (120, 200))]
-    out += [("XGB", f"XGB md={d}", {"md": d}) for d in (4, 6)] + [("LGBM", f"LGBM lv={n}", {"lv": n}) for n in (15, 31)]
+    out += [(f, f"{f} md={d} n={n} lr={r}", {"md": d, "n": n, "lr": r}) for f, d, n, r in (("XGB", 4, 120, 0.08), ("XGB", 6, 160, 0.06), ("LGBM", 6, 160, 0.06), ("LGBM", 8, 200, 0.05))]
     return out
 
 
 _FASTER = [("LogReg", "LogReg C=1.0", {"C": 1.0}), ("HGB", "HGB md=4 mi=80 lr=0.1", {"md": 4, "mi": 80, "lr": 0.1}), ("RF", "RF md=8 n=80", {"md": 8, "n": 80})]
+#: Every variant's family and parameters by its name.
+VARIANTS = {name: (family, values) for family, name, values in (*_all_variants(), *_FASTER)}
 
 
-def variants(spark: SparkSession, family: str = "faster", strict: bool = True) -> DataFrame:
-    """(ordinal, family, name, params); the ordinal breaks ties. An unknown family is refused, or means all without ``strict``."""
-    key = family.strip().lower()
-    every = _all_variants()
+def names(family: str = "faster", strict: bool = True) -> list[str]:
+    """The variants of a family, of ``fast`` (without the stand-ins for vendor boosters), ``faster`` (one of each of these) or ``all``. An unknown family is refused, or means all
+    without ``strict``."""
+    key, every = family.strip().lower(), _all_variants()
     if key == "faster":
         chosen = _FASTER
     elif key == "fast":
@@ -36,7 +38,12 @@ def variants(spark: SparkSession, family: str = "faster", strict: bool = True) -
         chosen = every
     else:
         raise ValueError(f"unknown family {family!r}")
-    rows = [(i, f, n, {k: float(x) for k, x in p.items()}) for i, (f, n, p) in enumerate(chosen)]
+    return [name for _, name, _ in chosen]
+
+
+def variants(spark: SparkSession, family: str = "faster", strict: bool = True) -> DataFrame:
+    """(ordinal, family, name, params); the ordinal breaks ties."""
+    rows = [(i, VARIANTS[n][0], n, {k: float(x) for k, x in VARIANTS[n][1].items()}) for i, n in enumerate(names(family, strict))]
     return spark.createDataFrame(rows, "ordinal int, family string, name string, params map<string,double>")
 
 
