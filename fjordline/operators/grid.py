@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,19 +26,25 @@ SIDE_BY_SIDE = 32
 
 @dataclass(frozen=True)
 class BatchSpec:
-    """Batches of ``size`` forecasts from row ``train`` + ``test`` on; variants are fitted on ``train`` rows and scored on the next ``test``; forecasts are fitted on at most the
-    ``cap`` rows before them. ``purge`` rows just before a forecast, or a scored part, are left out of what it is fitted on (lead - 1 keeps labels that are not known yet out)."""
+    """Batches of ``size`` rows from row ``window`` on, whose first ``forecasts`` rows (all for None) are forecast; before each, variants are fitted on ``train`` rows and scored on the next
+    ``validation`` and, after these, the next ``test`` rows; forecasts are fitted on at most the ``cap`` rows before them. ``purge`` rows just before a forecast, or a scored part, are left out of what it is fitted on (lead - 1 keeps labels that are not known yet out)."""
 
     train: int = 200
     test: int = 50
     size: int = 25
     cap: int = 1000
     purge: int = 0
-    batches_a_chunk: int = 8
+    batches_a_chunk: int = 4
+    validation: int = 0
+    forecasts: int | None = None
 
     @property
     def window(self) -> int:
-        return self.train + self.test
+        return self.train + self.validation + self.test
+
+    @property
+    def ahead(self) -> int:
+        return self.forecasts or self.size
 
 
 def multinomial(x: np.ndarray, y: np.ndarray, classes: int, c: float | None = 1.0, rounds: int = 60) -> np.ndarray:
@@ -118,12 +124,13 @@ def window_fit(x: np.ndarray, y: np.ndarray, rest: np.ndarray, k: int, seed: int
     if len(labels) < 2:
         return None
     a, b = components(x, rest, k)[:2] if k else prepare(x, rest)
-    return trees.Fit(a, y, b, seed), labels
+    # rounded, so that the last digits of sums made in another order do not move a split
+    return trees.Fit(a.round(9), y, b.round(9), seed), labels
 
 
 def chunked(rows: DataFrame, spec: BatchSpec, history: int, keys: list[str]) -> DataFrame:
     """Rows with their number ``rn`` in a run of ``n``, dealt to chunks of ``batches_a_chunk`` complete batches with ``history`` rows before them; a column ``chunk`` is added."""
-    last = F.floor((F.col("n") - spec.window) / spec.size)  # complete batches
+    last = F.floor((F.col("n") - spec.window - spec.ahead) / spec.size) + 1  # complete batches
     size = spec.size * spec.batches_a_chunk
     low = F.greatest(F.lit(0), F.floor((F.col("rn") - spec.window) / size))
     high = F.least(F.ceil(last / spec.batches_a_chunk) - 1, F.floor((F.col("rn") + history - spec.window) / size))
@@ -157,7 +164,7 @@ def _numbers(group: pd.DataFrame, features: list[str]) -> tuple[np.ndarray, np.n
 def _starts(rn: np.ndarray, n: int, chunk: int, spec: BatchSpec) -> list[tuple[int, int]]:
     """(batch, its first row) of the complete batches of a chunk."""
     batches = range(chunk * spec.batches_a_chunk, (chunk + 1) * spec.batches_a_chunk)
-    return [(b, t) for b in batches if (t := spec.window + b * spec.size) + spec.size <= n]
+    return [(b, t) for b in batches if (t := spec.window + b * spec.size) + spec.ahead <= n]
 
 
 def _seed(group: pd.DataFrame, keys: list[str], *more: int) -> int:
@@ -165,8 +172,8 @@ def _seed(group: pd.DataFrame, keys: list[str], *more: int) -> int:
 
 
 def score_batches(rows: DataFrame, features: list[str], names: list[str], spec: BatchSpec, keys: list[str], k: int = 0) -> DataFrame:
-    """(keys, batch, ordinal, variant, acc): every variant of ``names`` fitted before each batch on ``train`` rows and scored on the next ``test`` rows. ``rows`` hold keys, dt, rn, n, y and
-    features; windows with one class have no scores."""
+    """(keys, batch, ordinal, variant, val_acc, acc): every variant of ``names`` fitted before each batch on ``train`` rows and scored on the ``validation`` (null without any) and on the ``test``
+    rows. ``rows`` hold keys, dt, rn, n, y and features; windows with one class have no scores."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[tuple, trees.Fit, np.ndarray]] = []
@@ -175,8 +182,9 @@ def score_batches(rows: DataFrame, features: list[str], names: list[str], spec:
             out = []
             for i, name in enumerate(names):
                 for (key, fit, y), p in zip(held, learner(name)([f for _, f, _ in held]), strict=True):
-                    out.append((*key, i, name, float((p.argmax(1) == y).mean())))
-            return pd.DataFrame(out, columns=[*keys, "batch", "ordinal", "variant", "acc"])
+                    hit = p.argmax(1) == y
+                    out.append((*key, i, name, float(hit[: spec.validation].mean()) if spec.validation else None, float(hit[spec.validation :].mean())))
+            return pd.DataFrame(out, columns=[*keys, "batch", "ordinal", "variant", "val_acc", "acc"])
 
         for group in _groups(frames, [*keys, "chunk"]):
             x, y, rn, n = _numbers(group, features)
@@ -184,9 +192,8 @@ def score_batches(rows: DataFrame, features: list[str], names: list[str], spec:
                 at = np.searchsorted(rn, t)
                 a = at - spec.window
                 mid = a + spec.train
-                known = np.unique(y[a:at])
                 made = window_fit(x[a : mid - spec.purge], y[a : mid - spec.purge], x[mid:at], k, _seed(group, keys, batch))
-                if made is None or len(known) < 2:
+                if made is None:
                     continue
                 fit, labels = made
                 own = np.searchsorted(labels, y[mid:at])
@@ -198,7 +205,7 @@ def score_batches(rows: DataFrame, features: list[str], names: list[str], spec:
         if held:
             yield scored()
 
-    return _mapped(chunked(rows, spec, spec.window, keys), keys, features, work, "batch long, ordinal int, variant string, acc double")
+    return _mapped(chunked(rows, spec, spec.window, keys), keys, features, work, "batch long, ordinal int, variant string, val_acc double, acc double")
 
 
 def deploy_batches(rows: DataFrame, features: list[str], chosen: DataFrame, spec: BatchSpec, keys: list[str], k: int = 0) -> DataFrame:
@@ -228,7 +235,7 @@ def deploy_batches(rows: DataFrame, features: list[str], chosen: DataFrame, spec
                 if batch not in names:
                     continue
                 name = names[batch]
-                for step in range(t, t + spec.size):
+                for step in range(t, t + spec.ahead):
                     at = int(np.searchsorted(rn, step))
                     end = at - spec.purge
                     a = max(0, at - spec.cap)
@@ -244,8 +251,93 @@ def deploy_batches(rows: DataFrame, features: list[str], chosen: DataFrame, spec
     return _mapped(dealt, keys, features, work, "batch long, dt date, y int, forward_r double, variant string, labels array<int>, p array<double>, pred int", ["forward_r", "champions"])
 
 
+#: Models that are fitted once a fold at their published sizes, by a name of their own: (training columns, classes, rows to predict) as a fit to probabilities.
+MODELS: dict[str, Callable[[list[trees.Fit]], list[np.ndarray]]] = {
+    "Forest": lambda fits: trees.bagged(fits, trees.Bagging(300, 12)),
+    "Boosted": lambda fits: trees.boosted(fits, trees.Boosting(200, 0.1, 3, least_rows=1, least_hess=1e-12, leaves=1 << 30, balanced=False)),
+    "Boosted bins": lambda fits: trees.boosted(fits, trees.Boosting(200, 0.1, 6)),
+    "Boosted sampled": lambda fits: trees.boosted(fits, trees.Boosting(250, 0.06, 5, leaves=1 << 30, least_rows=1, least_hess=1.0, ridge=1.0, rows=0.85, columns=0.85, balanced=False)),
+    "Boosted leafwise": lambda fits: trees.boosted(fits, trees.Boosting(300, 0.05, 62, growth="leaf", columns=0.85)),
+    "Boosted symmetric": lambda fits: trees.boosted(fits, trees.Boosting(400, 0.06, 6, growth="symmetric", least_rows=1, least_hess=1e-12, ridge=3.0)),
+    "Logistic": lambda fits: _linear(fits, 1.0),
+    "Multinomial": lambda fits: [_unpenalised(f) for f in fits],
+}
+
+
+def _unpenalised(f: trees.Fit) -> np.ndarray:
+    w = multinomial(f.x, f.y, int(f.y.max()) + 1, None)
+    return softmax(f.rest @ w[1:] + w[0])
+
+
+def fit_classes(rows: DataFrame, features: list[str], names: list[str], keys: list[str], k: int = 0) -> DataFrame:
+    """(keys, model, dt, y, forward_r, labels, p, pred, status) of the test rows of each group (is_test), two classes or more: every model of ``names`` is fitted on the group's training
+    rows; ``p`` holds a probability for each of ``labels``. A group with one class or without test rows, and a fit that fails, give one row with the reason."""
+    columns = [*keys, "model", "dt", "y", "forward_r", "labels", "p", "pred", "status"]
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(frames, keys):
+            key = tuple(group[c].iloc[0] for c in keys)
+            test = group[group.is_test]
+            train = group[~group.is_test]
+            x, y = train[features].to_numpy(float), train.y.to_numpy(int)
+            out = []
+            made = window_fit(x, y, test[features].to_numpy(float), k, _seed(group, keys)) if len(test) and len(train) else None
+            for name in names:
+                if made is None:
+                    out.append((*key, name, None, None, None, None, None, None, "one class or no test rows"))
+                    continue
+                try:
+                    p = MODELS[name]([made[0]])[0]
+                except (ArithmeticError, ValueError, np.linalg.LinAlgError) as e:
+                    out.append((*key, name, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                    continue
+                labels = made[1].tolist()
+                out += [(*key, name, d, int(t), float(r), labels, q, labels[int(np.argmax(q))], "ok") for d, t, r, q in zip(test.dt, test.y, test.forward_r, p.tolist(), strict=True)]
+            frame = pd.DataFrame(out, columns=columns).astype(object)
+            yield frame.where(frame.notna(), None)
+
+    kinds = dict(rows.dtypes)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = rows.select(*keys, "dt", "y", "forward_r", "is_test", *features).repartition(parts, *keys).sortWithinPartitions(*keys, "dt")
+    return df.mapInPandas(work, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", model string, dt date, y int, forward_r double, labels array<int>, p array<double>, pred int, status string")
+
+
+def of_classes(p: str, labels: str, classes: int) -> Column:
+    """Probabilities of classes 0 .. ``classes`` - 1; a class that a fit has not seen has 0."""
+    return F.expr(f"transform(sequence(0, {classes - 1}), c -> if(array_contains({labels}, c), get({p}, cast(array_position({labels}, c) - 1 AS int)), 0D))")
+
+
+def forecast_newest(rows: DataFrame, features: list[str], keys: list[str], cap: int = 1000, k: int = 0) -> DataFrame:
+    """(keys, labelled_through, n_train, labels, p, pred, status): each run's champion (column ``champion``) fitted on its last ``cap`` labelled rows before its newest row (column ``newest``),
+    which it forecasts."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(frames, keys):
+            key = tuple(group[c].iloc[0] for c in keys)
+            known, row = group[group.y.notna()].tail(cap), group[group.newest]
+            status, made = "ok", None
+            if len(known) < 80:
+                status = f"too_few_labeled_rows:{len(known)}"
+            elif group.champion.iloc[0] not in VARIANTS:
+                status = f"chosen_variant_not_in_grid:{group.champion.iloc[0]}"
+            elif not (made := window_fit(known[features].to_numpy(float), known.y.to_numpy(int), row[features].to_numpy(float), k, _seed(group, keys))):
+                status = "training_labels_single_class"
+            if made:
+                p = learner(group.champion.iloc[0])([made[0]])[0][0]
+                yield pd.DataFrame([(*key, known.dt.iloc[-1], len(known), made[1].tolist(), p.tolist(), int(made[1][p.argmax()]), status)], columns=[*keys, "labelled_through", "n_train", "labels", "p", "pred", "status"])
+            else:
+                yield pd.DataFrame([(*key, None, len(known), None, None, None, status)], columns=[*keys, "labelled_through", "n_train", "labels", "p", "pred", "status"])
+
+    kinds = dict(rows.dtypes)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = rows.select(*keys, "dt", "y", "newest", "champion", *features).repartition(parts, *keys).sortWithinPartitions(*keys, "dt")
+    return df.mapInPandas(work, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", labelled_through date, n_train long, labels array<int>, p array<double>, pred int, status string")
+
+
 def _mapped(dealt: DataFrame, keys: list[str], features: list[str], work, schema: str, more: list[str] | None = None) -> DataFrame:
     kinds = dict(dealt.dtypes)
     df = dealt.select(*keys, "chunk", "dt", "rn", "n", "y", *(more or []), *features)
-    df = df.repartition(*keys, "chunk").sortWithinPartitions(*keys, "chunk", "rn")
+    # a fixed number of parts: fits cost time, not bytes, so small parts must not be put together
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.repartition(parts, *keys, "chunk").sortWithinPartitions(*keys, "chunk", "rn")
     return df.mapInPandas(work, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", " + schema)

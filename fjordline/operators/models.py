@@ -1,8 +1,7 @@
 """Classifiers over the direction panel.
 
-Many small fits (one a fold or batch) run as grouped maps with a short Newton solver; fits over a whole panel use Spark ML. Vendor boosters,
-kernel machines and networks of other libraries have stand-ins here (boosted trees, random features with a linear machine, a perceptron):
-they are approximations and carry names of their own.
+Many small fits (one a fold) run as grouped maps with a short Newton solver, tree ensembles and tuned windows in ``grid``; fits over a whole panel use Spark ML. Kernel machines and
+networks of other libraries have stand-ins here (random features with a linear machine, a perceptron): they are approximations and carry names of their own.
 """
 
 from __future__ import annotations
@@ -165,24 +164,6 @@ def fit_models(rows: DataFrame, features: list[str], names: list[str] | None = N
     return rows.select("instrument", "fold", "is_test", "dt", "y", "forward_r", *features).groupBy(*keys).applyInPandas(work, FITTED)
 
 
-def fit_steps(rows: DataFrame, features: list[str], pool: int, keys: tuple[str, ...] = ("instrument", "fold")) -> DataFrame:
-    """Batches forecast one step at a time: each test row of a group by a logistic model refitted on the ``pool`` rows before it, with the C in column ``c`` and the name in ``champion``."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("dt").reset_index(drop=True)
-        out = []
-        for i in pdf.index[pdf.is_test]:
-            past, row = pdf.iloc[max(0, i - pool) : i], pdf.iloc[[i]]
-            if past.y.nunique() < 2:
-                continue
-            a, b = prepare(past[features].to_numpy(float), row[features].to_numpy(float))
-            p = chance(b, logistic(a, past.y.to_numpy(int), float(row.c.iloc[0])))
-            out.append(pd.DataFrame({"fold": row.fold, "model": row.champion, "instrument": row.instrument, "dt": row.dt, "y": row.y, "forward_r": row.forward_r, "p0": 1 - p, "p1": p, "pred": (p > 0.5).astype(int)}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["fold", "model", "instrument", "dt", "y", "forward_r", "p0", "p1", "pred"])
-
-    return rows.select("instrument", "fold", "is_test", "dt", "y", "forward_r", "c", "champion", *features).groupBy(*keys).applyInPandas(work, PREDICTION)
-
-
 def fit_folds(rows: DataFrame, features: list[str], name: str, c: float = 1.0, variance: float | None = None, keys: tuple[str, ...] = ("instrument", "fold")) -> DataFrame:
     """One logistic fit a (instrument, fold) of walk-forward rows; folds whose training labels have one class give no rows."""
 
@@ -197,24 +178,6 @@ def fit_folds(rows: DataFrame, features: list[str], name: str, c: float = 1.0, v
     return rows.select("instrument", "fold", "is_test", "dt", "y", "forward_r", *features).groupBy(*keys).applyInPandas(work, PREDICTION)
 
 
-def score_variants(rows: DataFrame, features: list[str], grid: dict[str, float], keys: list[str]) -> DataFrame:
-    """(keys, ordinal, variant, acc) of logistic variants: fitted on the training part of each group, scored on its test part."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        train, test = pdf[~pdf.is_test], pdf[pdf.is_test]
-        out = []
-        if train.y.nunique() == 2 and len(test):
-            a, b = prepare(train[features].to_numpy(float), test[features].to_numpy(float))
-            for i, (name, c) in enumerate(grid.items()):
-                p = chance(b, logistic(a, train.y.to_numpy(int), c))
-                out.append((*(pdf[k].iloc[0] for k in keys), i, name, float(((p > 0.5) == (test.y == 1)).mean())))
-        return pd.DataFrame(out, columns=[*keys, "ordinal", "variant", "acc"])
-
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", ordinal int, variant string, acc double"
-    return rows.groupBy(*keys).applyInPandas(work, schema)
-
-
 def _vectors(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df)
 
@@ -229,9 +192,8 @@ def weighted(train: DataFrame) -> DataFrame:
     return train.withColumn("weight", value)
 
 
-#: Full sizes of the larger models, and the reduced ones of the registered queries.
+#: Published sizes of the larger models.
 FULL = {"trees": 300, "depth": 12, "rounds": 200, "fine_depth": 6, "layers": (128, 64), "epochs": 400}
-REDUCED = {"trees": 60, "depth": 8, "rounds": 30, "fine_depth": 4, "layers": (32, 16), "epochs": 60}
 
 
 def fit_panel(train: DataFrame, test: DataFrame, features: list[str], kind: str, seed: int = 42, size: dict | None = None) -> DataFrame:
@@ -286,48 +248,3 @@ def fit_radial_machine(train: DataFrame, test: DataFrame, features: list[str]) -
     platt = LogisticRegression(labelCol="y", featuresCol="mv").fit(margins(a))
     out = platt.transform(margins(b)).withColumn("p", vector_to_array("probability"))
     return out.select("instrument", "dt", "y", F.col("p")[0].alias("p0"), F.col("p")[1].alias("p1"), F.col("prediction").cast("int").alias("pred"))
-
-
-def fit_multinomial(train: DataFrame, test: DataFrame, features: list[str]) -> DataFrame:
-    """Unpenalised multinomial logit for three classes."""
-    model = LogisticRegression(labelCol="y", featuresCol="features", family="multinomial", regParam=0.0, maxIter=100).fit(_vectors(train, features))
-    out = model.transform(_vectors(test, features))
-    return out.select("instrument", "dt", "y", vector_to_array("probability").alias("p"), F.col("prediction").cast("int").alias("pred"))
-
-
-def tune_origins(rows: DataFrame, features: list[str], grid: dict[str, float], train: int, validation: int, keys: tuple[str, ...] = ("instrument", "fold")) -> DataFrame:
-    """Sequential out-of-sample tuning: for each origin (a fold whose last row is the one to forecast) the variants are fitted on ``train`` rows, the best
-    on the next ``validation`` rows (the first wins ties) is refitted on the whole pool and forecasts the row."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("dt")
-        pool, row = pdf[~pdf.is_test], pdf[pdf.is_test]
-        a, b = pool.iloc[:train], pool.iloc[train : train + validation]
-        empty = pd.DataFrame(columns=["fold", "model", "instrument", "dt", "y", "forward_r", "p0", "p1", "pred"])
-        if a.y.nunique() < 2 or b.empty or row.empty or pool.y.nunique() < 2:
-            return empty
-        x, z = prepare(a[features].to_numpy(float), b[features].to_numpy(float))
-        scores = [float(((chance(z, logistic(x, a.y.to_numpy(int), c)) > 0.5) == (b.y == 1)).mean()) for c in grid.values()]
-        name = list(grid)[int(np.argmax(scores))]
-        x, z = prepare(pool[features].to_numpy(float), row[features].to_numpy(float))
-        p = chance(z, logistic(x, pool.y.to_numpy(int), grid[name]))
-        return pd.DataFrame({"fold": row.fold, "model": name, "instrument": row.instrument, "dt": row.dt, "y": row.y, "forward_r": row.forward_r, "p0": 1 - p, "p1": p, "pred": (p > 0.5).astype(int)})
-
-    return rows.select("instrument", "fold", "is_test", "dt", "y", "forward_r", *features).groupBy(*keys).applyInPandas(work, PREDICTION)
-
-
-def forecast_last(rows: DataFrame, features: list[str], c: float | str = 1.0) -> DataFrame:
-    """(instrument, feature_date, p_sell, p_buy): fit on the labelled history, forecast the newest row, which has no label yet. ``c`` is a number or a column that
-    holds each instrument's own."""
-    rows = rows.withColumn("_c", F.col(c) if isinstance(c, str) else F.lit(float(c)))
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("dt")
-        known, last = pdf[pdf.y.notna()], pdf.iloc[[-1]]
-        if known.y.nunique() < 2:
-            return pd.DataFrame(columns=["instrument", "feature_date", "n_train", "p_sell", "p_buy"])
-        a, b = prepare(known[features].to_numpy(float), last[features].to_numpy(float))
-        p = chance(b, logistic(a, known.y.to_numpy(int), float(last._c.iloc[0])))
-        return pd.DataFrame({"instrument": last.instrument, "feature_date": last.dt, "n_train": len(known), "p_sell": 1 - p, "p_buy": p})
-
-    return rows.select("instrument", "dt", "y", "_c", *features).groupBy("instrument").applyInPandas(work, "instrument string, feature_date date, n_train long, p_sell double, p_buy double")

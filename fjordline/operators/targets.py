@@ -29,18 +29,17 @@ def ternary_label(r: Column, band: float = BAND) -> Column:
     return F.when(r < -band, 0).when(r <= band, 1).when(r > band, 2)
 
 
-def excursions(df: DataFrame, lead: int) -> DataFrame:
-    """hi_exc, lo_exc, close_ret over rows t+1 .. t+lead; null unless all highs and lows there are known."""
+def excursion_columns(lead: int, high: str = "high", low: str = "low", close: str = "close") -> tuple[Column, Column, Column]:
+    """(highest, lowest and last move) over rows t+1 .. t+lead; null unless all highs and lows there are known."""
     ahead = by_instrument().rowsBetween(1, lead)
-    high, low, close = clean(F.col("high")), clean(F.col("low")), clean(F.col("close"))
-    whole = (F.count(high).over(ahead) == lead) & (F.count(low).over(ahead) == lead) & (F.abs(close) >= 1e-18)
-    return df.withColumns(
-        {
-            "hi_exc": F.when(whole, F.max(high).over(ahead) / close - 1),
-            "lo_exc": F.when(whole, F.min(low).over(ahead) / close - 1),
-            "close_ret": F.when(whole, F.lead(close, lead).over(by_instrument()) / close - 1),
-        }
-    )
+    h, l, c = clean(F.col(high)), clean(F.col(low)), clean(F.col(close))
+    whole = (F.count(h).over(ahead) == lead) & (F.count(l).over(ahead) == lead) & (F.abs(c) >= 1e-18)
+    return F.when(whole, F.max(h).over(ahead) / c - 1), F.when(whole, F.min(l).over(ahead) / c - 1), F.when(whole, F.lead(c, lead).over(by_instrument()) / c - 1)
+
+
+def excursions(df: DataFrame, lead: int) -> DataFrame:
+    """Append hi_exc, lo_exc and close_ret."""
+    return df.withColumns(dict(zip(("hi_exc", "lo_exc", "close_ret"), excursion_columns(lead), strict=True)))
 
 
 def path_binary(hi: Column, lo: Column, r: Column) -> Column:

@@ -60,17 +60,47 @@ def best_variant(scores: DataFrame, keys: list[str]) -> DataFrame:
     return scores.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+#: Batches whose champions are found in one step of the fold over a run.
+FOLD_BLOCK = 64
+
+
 def champions(scores: DataFrame, sticky: bool = True, slack: float = 1e-15) -> DataFrame:
-    """(run, batch, best, best_acc, champion): scores (run, batch, ordinal, variant, acc). A sticky champion keeps its place while it scores at least
-    the batch's best less ``slack``. The sequence over batches is a fold over one array a run."""
+    """(run, batch, best, best_acc, champion): scores (run, batch, ordinal, variant, acc). A sticky champion keeps its place while it scores at least the batch's best less ``slack``."""
     best = best_variant(scores, ["run", "batch"]).select("run", "batch", F.col("variant").alias("best"), F.col("acc").alias("best_acc"))
+    return carried(best, scores, sticky, slack)
+
+
+def nested_champions(scores: DataFrame, sticky: bool = True, slack: float = 1e-15) -> DataFrame:
+    """(run, batch, best, best_acc, champion) of a selection in two steps: scores (run, batch, ordinal, variant, val_acc, acc). Of each family the variant with the highest ``val_acc`` goes on, and
+    of these the one with the highest ``acc`` is the best; the first ordinal wins ties. The champion holds on by ``acc``."""
+    family = F.substring_index("variant", " ", 1)
+    w = Window.partitionBy("run", "batch", "family").orderBy(F.desc_nulls_last("val_acc"), "ordinal")
+    first = F.min("ordinal").over(Window.partitionBy("run", "batch", "family"))
+    won = scores.withColumn("family", family).withColumns({"_k": F.row_number().over(w), "_f": first}).where("_k = 1")
+    best = best_variant(won.drop("_k").withColumn("ordinal", F.col("_f")), ["run", "batch"])
+    return carried(best.select("run", "batch", F.col("variant").alias("best"), F.col("acc").alias("best_acc")), scores, sticky, slack)
+
+
+def carried(best: DataFrame, scores: DataFrame, sticky: bool, slack: float) -> DataFrame:
+    """``best`` (run, batch, best, best_acc) with the champion of each batch. A batch turns each possible champion before it into one after it; these moves are composed over blocks of
+    ``FOLD_BLOCK`` batches, a short fold over the blocks gives the champion each starts with, and each block is then filled in by itself."""
+    if not sticky:
+        return best.withColumn("champion", F.col("best"))
     accs = scores.groupBy("run", "batch").agg(F.map_from_entries(F.collect_list(F.struct("variant", "acc"))).alias("acc"))
-    rows = best.join(accs, ["run", "batch"]).groupBy("run").agg(F.collect_list(F.struct("batch", "best", "best_acc", "acc")).alias("a"))
-    rows = rows.withColumn("a", F.expr("array_sort(a, (l, r) -> cast(l.batch - r.batch AS int))"))
-    keep = "coalesce(try_element_at(x.acc, try_element_at(h, -1)) >= x.best_acc - SLACK, false)" if sticky else "false"
-    fold = f"aggregate(a, cast(array() AS array<string>), (h, x) -> array_append(h, if({keep.replace('SLACK', repr(slack) + 'D')}, try_element_at(h, -1), x.best)))"
-    rows = rows.withColumn("c", F.expr(fold)).select("run", F.posexplode("a").alias("i", "x"), "c")
-    return rows.select("run", "x.batch", "x.best", "x.best_acc", F.expr("get(c, i)").alias("champion"))
+    steps = best.join(accs, ["run", "batch"]).withColumn("k", F.row_number().over(Window.partitionBy("run").orderBy("batch")) - 1)
+    rows = steps.groupBy("run", F.floor(F.col("k") / FOLD_BLOCK).alias("block")).agg(F.collect_list(F.struct("k", "batch", "best", "best_acc", "acc")).alias("a"))
+    rows = rows.withColumn("a", F.expr("array_sort(a, (l, r) -> cast(l.k - r.k AS int))"))
+    after = lambda h: f"if(coalesce(try_element_at(x.acc, {h}) >= x.best_acc - {slack!r}D, false), {h}, x.best)"
+    names = rows.withColumn("names", F.expr("array_append(array_distinct(flatten(transform(a, x -> map_keys(x.acc)))), '')"))
+    moves = names.select("run", "block", F.expr(f"map_from_arrays(names, transform(names, s -> aggregate(a, s, (h, x) -> {after('h')})))").alias("move"))
+    chain = moves.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("block", F.map_entries("move").alias("move")))).alias("m"))
+    went = "coalesce(try_element_at(map_from_entries(x.move), a.v), try_element_at(map_from_entries(x.move), ''))"
+    fold = f"aggregate(m, struct('' AS v, cast(array() AS array<string>) AS h), (a, x) -> struct({went} AS v, array_append(a.h, a.v) AS h), a -> a.h)"
+    starts = chain.select("run", F.posexplode(F.expr(fold)).alias("i", "start"))
+    filled = rows.join(starts.withColumn("block", F.col("i").cast("long")), ["run", "block"])
+    within = f"aggregate(a, struct(start AS v, cast(array() AS array<string>) AS h), (s, x) -> struct({after('s.v')} AS v, array_append(s.h, {after('s.v')}) AS h), s -> s.h)"
+    out = filled.withColumn("c", F.expr(within)).select("run", F.posexplode("a").alias("i", "x"), "c")
+    return out.select("run", "x.batch", "x.best", "x.best_acc", F.expr("get(c, i)").alias("champion"))
 
 
 def stability(chosen: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import backtest, features, folds, metrics, models, targets, tune
+from ..operators import backtest, features, folds, grid, metrics, models, targets, tune
 from ..operators.panel import by_instrument
 from . import tables as T
 from .panel_queries import r6
@@ -14,12 +14,18 @@ from .registry import query
 FEATURES = ["ret1", "ret2", "ret3", "vol", "gap"]
 
 
-def panel(spark: SparkSession, sf: str, lead: int = 1) -> DataFrame:
+def feature_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """(instrument, dt, px, features): rows whose features are known, labelled or not."""
     w = by_instrument()
     df = features.realized_vol(features.pct_change(T.level(spark, sf), "px"), rows=20)
     df = df.withColumns({"ret1": F.col("ret"), "ret2": F.lag("ret", 1).over(w), "ret3": F.lag("ret", 2).over(w), "gap": F.col("px") / F.avg("px").over(w.rowsBetween(-19, 0)) - 1})
-    df = df.withColumn("forward_r", targets.forward_return(lead, "px")).withColumn("y", targets.binary_label(F.col("forward_r"))).where("y IS NOT NULL AND ret3 IS NOT NULL AND vol IS NOT NULL")
-    return df.withColumn("rn", F.row_number().over(w).cast("long") - 1).select("instrument", "dt", "rn", "px", "y", "forward_r", *FEATURES)
+    return df.where("ret3 IS NOT NULL AND vol IS NOT NULL").select("instrument", "dt", "px", *FEATURES)
+
+
+def panel(spark: SparkSession, sf: str, lead: int = 1, label=targets.binary_label) -> DataFrame:
+    df = feature_panel(spark, sf)
+    df = df.withColumn("forward_r", targets.forward_return(lead, "px")).withColumn("y", label(F.col("forward_r"))).where("y IS NOT NULL")
+    return df.withColumn("rn", F.row_number().over(by_instrument()).cast("long") - 1).select("instrument", "dt", "rn", "px", "y", "forward_r", *FEATURES)
 
 
 def halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -45,20 +51,42 @@ def _fit(name: str, kind: str):
     @query(name)
     def run(spark: SparkSession, sf: str) -> DataFrame:
         train, test = halves(spark, sf)
-        return r6(models.fit_panel(train, test, FEATURES, kind, size=models.REDUCED), "p0", "p1")
+        return r6(models.fit_panel(train, test, FEATURES, kind), "p0", "p1")
 
     return run
 
 
 fit_logit = _fit("fit_logit", "logit")
 fit_logistic_balanced = _fit("fit_logistic_balanced", "logistic_balanced")
-fit_rf = _fit("fit_rf", "random_forest")
-fit_gbt = _fit("fit_gbt", "boosted_trees")
-fit_gbt_fine = _fit("fit_gbt_fine", "boosted_trees_fine")
 fit_mlp = _fit("fit_mlp", "perceptron")
 fit_probit = _fit("fit_probit", "probit")
 
 
+def _fit_trees(name: str, model: str):
+    @query(name)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        """One fit an instrument at the published size, on the first half of its rows."""
+        df = folds.holdout_as_fold(folds.with_size(panel(spark, sf)))
+        made = grid.fit_classes(df, FEATURES, [model], ["instrument"])
+        return r6(two_classes(made), "p0", "p1", "forward_r")
+
+    return run
+
+
+def two_classes(made: DataFrame) -> DataFrame:
+    """Forecasts with arrays of probabilities as p0 and p1."""
+    p = grid.of_classes("p", "labels", 2)
+    return made.withColumns({"p0": F.get(p, 0), "p1": F.get(p, 1)}).drop("p", "labels")
+
+
+fit_rf = _fit_trees("fit_rf", "Forest")
+fit_gbt = _fit_trees("fit_gbt", "Boosted")
+fit_gbt_fine = _fit_trees("fit_gbt_fine", "Boosted bins")
+fit_gbt_sampled = _fit_trees("fit_gbt_sampled", "Boosted sampled")
+fit_gbt_leafwise = _fit_trees("fit_gbt_leafwise", "Boosted leafwise")
+fit_gbt_symmetric = _fit_trees("fit_gbt_symmetric", "Boosted symmetric")
+
+
 @query("fit_svm_rff")
 def fit_svm_rff(spark: SparkSession, sf: str) -> DataFrame:
     train, test = halves(spark, sf)
@@ -67,33 +95,55 @@ def fit_svm_rff(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fit_mnlogit")
 def fit_mnlogit(spark: SparkSession, sf: str) -> DataFrame:
-    df = panel(spark, sf).withColumn("y", targets.ternary_label(F.col("forward_r")))
-    df = folds.holdout(folds.with_size(df))
-    return models.fit_multinomial(df.where("NOT is_test"), df.where("is_test"), FEATURES)
+    """Three classes fold by fold: an unpenalised multinomial logit on principal components, a penalised one, and their probabilities for every class."""
+    df = three_class_folds(spark, sf)
+    made = grid.fit_classes(df, FEATURES, ["Multinomial", "Logistic"], ["instrument", "fold"], 4).where("status = 'ok'")
+    p = grid.of_classes("p", "labels", 3)
+    return r6(made.withColumns({f"p{i}": F.get(p, i) for i in range(3)}).drop("p", "labels"), "p0", "p1", "p2", "forward_r")
 
 
-GRID = {"LogReg C=0.25": 0.25, "LogReg C=1.0": 1.0, "LogReg C=4.0": 4.0}
+def three_class_folds(spark: SparkSession, sf: str, lead: int = 5) -> DataFrame:
+    return folds.walk_forward(folds.with_size(panel(spark, sf, lead, targets.ternary_label)), folds.FoldSpec(purge=lead - 1))
 
 
-@query("tune_batch")
-def tune_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """Score the variants on each batch's inner window (200 + 50 rows), choose sticky champions, and forecast the next 25 rows one by one, the
-    champion being refitted at every step on the 250 rows before."""
-    best = batch_champions(spark, sf)
-    # the deployment window: 250 rows to fit on, then the 25 rows of the batch
-    deploy = walk(spark, sf, folds.FoldSpec(window=275, train_share=250 / 275, step=25)).withColumn("run", F.col("instrument"))
-    chosen = best.select("run", F.col("batch").alias("fold"), "champion", size_of("champion").alias("c"))
-    return r6(models.fit_steps(deploy.join(chosen, ["run", "fold"]), FEATURES, 250), "p0", "p1", "forward_r")
+@query("ternary_backtest")
+def ternary_backtest(spark: SparkSession, sf: str) -> DataFrame:
+    """Fitted three-class probabilities through macro F1, positions (flat in the middle class and below 0.4) and risk statistics."""
+    made = grid.fit_classes(three_class_folds(spark, sf), FEATURES, ["Multinomial", "Logistic"], ["instrument", "fold"], 4).where("status = 'ok'")
+    keys = ["instrument", "model"]
+    one = backtest.stitched(made, keys).withColumn("position", backtest.ternary_position(grid.of_classes("p", "labels", 3), 0.4)).withColumn("strat", F.col("position") * F.col("forward_r"))
+    out = backtest.risk_stats(one, keys).join(metrics.f1_macro(made, keys), keys).join(metrics.accuracy(made, keys).select(*keys, "accuracy", "balanced_accuracy"), keys)
+    return r6(out, *(c for c, t in out.dtypes if t == "double"))
+
 
+#: 200 rows to fit variants on and 50 to score them before each 25 forecasts, each of these from the 250 rows before it.
+BATCH = grid.BatchSpec(cap=250)
+#: One forecast every 20 rows; 160 rows to fit on, 40 to choose a variant of each family, 50 to choose between the families.
+INNER = folds.InnerSplit(250, 0.2)
+ORIGIN = grid.BatchSpec(train=INNER.train, validation=INNER.validation, test=INNER.test, size=20, forecasts=1, cap=250)
 
-def size_of(champion: str):
-    """The C of a variant of ``GRID`` by its name."""
-    return F.create_map(*(F.lit(x) for pair in GRID.items() for x in pair))[F.col(champion)]
+
+def by_run(spark: SparkSession, sf: str) -> DataFrame:
+    return grid.numbered(panel(spark, sf).drop("rn").withColumn("run", F.col("instrument")), ["run"])
 
 
 def batch_champions(spark: SparkSession, sf: str) -> DataFrame:
-    scored = walk(spark, sf, folds.FoldSpec(window=250, step=25)).withColumnRenamed("fold", "batch").withColumn("run", F.col("instrument"))
-    return tune.champions(models.score_variants(scored, FEATURES, GRID, ["run", "batch"]))
+    scores = grid.score_batches(by_run(spark, sf), FEATURES, tune.names("faster"), BATCH, ["run"], 5)
+    return tune.champions(scores.persist())
+
+
+@query("tune_champions")
+def tune_champions(spark: SparkSession, sf: str) -> DataFrame:
+    """Champions of every batch over the three families of the fastest grid."""
+    return r6(batch_champions(spark, sf), "best_acc")
+
+
+@query("tune_batch")
+def tune_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Score logistic, boosted and bagged variants before each batch, choose sticky champions, and forecast the next 25 rows one by one, the champion being refitted at every step."""
+    best = batch_champions(spark, sf)
+    made = grid.deploy_batches(by_run(spark, sf), FEATURES, best.select("run", "batch", "champion"), BATCH, ["run"], 5)
+    return r6(two_classes(made).withColumnRenamed("run", "instrument"), "p0", "p1", "forward_r")
 
 
 @query("fit_models_folds")
@@ -135,35 +185,11 @@ def embedding_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return model.transform(df.where("vec_id % 2 = 1")).select("vec_id", "y", F.col("prediction").cast("int").alias("pred"))
 
 
-class OriginSpec(folds.FoldSpec):
-    """250 rows of history and the one row after them."""
-
-    @property
-    def test(self) -> int:
-        return 1
-
-
 @query("tune_origins")
 def tune_origins(spark: SparkSession, sf: str) -> DataFrame:
-    rows = walk(spark, sf, OriginSpec(window=251, step=20))
-    return r6(models.tune_origins(rows, FEATURES, GRID, train=200, validation=50), "p0", "p1", "forward_r")
-
-
-@query("daily_signals")
-def daily_signals(spark: SparkSession, sf: str) -> DataFrame:
-    """The signal sheet: gated runs, the newest row of each, a fit of its latest champion on its last 1000 labelled rows, side and target day, best first."""
-    from ..operators import calendar, panel as P, select
-    from .eval_queries import runs
-
-    w = by_instrument()
-    df = features.realized_vol(features.pct_change(T.level(spark, sf), "px"), rows=20)
-    df = df.withColumns({"ret1": F.col("ret"), "ret2": F.lag("ret", 1).over(w), "ret3": F.lag("ret", 2).over(w), "gap": F.col("px") / F.avg("px").over(w.rowsBetween(-19, 0)) - 1})
-    df = df.withColumn("y", targets.binary_label(targets.forward_return(1, "px"))).where("vol IS NOT NULL")
-    latest = batch_champions(spark, sf).groupBy("run").agg(F.max_by("champion", "batch").alias("champion"))
-    own = latest.select(F.col("run").alias("instrument"), F.coalesce(size_of("champion"), F.lit(1.0)).alias("c"))
-    rows = P.last_rows(df, 1001).join(own, "instrument", "left").withColumn("c", F.coalesce("c", F.lit(1.0)))
-    made = models.forecast_last(rows, FEATURES, "c")
-    gated = select.gate(runs(spark, sf), 0.5, "close").select("run", "acc")
-    out = made.join(gated, F.col("instrument") == F.col("run")).withColumn("pred", (F.col("p_buy") > 0.5).cast("int"))
-    out = out.withColumn("recommendation", select.recommendation(F.col("pred"), F.col("acc"))).withColumn("target_date", calendar.forecast_date(F.col("feature_date"), 1))
-    return r6(out.select("instrument", "feature_date", "target_date", "n_train", "p_sell", "p_buy", "acc", "recommendation"), "p_sell", "p_buy", "acc")
+    """Nested selection at each origin: the best variant of each family on the validation rows, the best of these on the inner test rows unless the champion still holds, and its forecast."""
+    scores = grid.score_batches(by_run(spark, sf), FEATURES, tune.names("faster"), ORIGIN, ["run"], 5).persist()
+    best = tune.nested_champions(scores)
+    made = two_classes(grid.deploy_batches(by_run(spark, sf), FEATURES, best.select("run", "batch", "champion"), ORIGIN, ["run"], 5))
+    out = made.join(best.select("run", "batch", "best", "best_acc"), ["run", "batch"]).withColumnRenamed("run", "instrument")
+    return r6(out, "p0", "p1", "forward_r", "best_acc")

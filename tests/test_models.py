@@ -51,17 +51,6 @@ def test_unpenalised_fits_have_no_slope_left():
     assert models.few_components(20, 60) == 8 and models.few_components(1000, 60) == 40
 
 
-def test_steps_refit_on_the_rows_before(spark):
-    df = rows(spark).withColumns({"c": F.lit(1.0), "champion": F.lit("LogReg C=1.0")})
-    got = models.fit_steps(df, ["x1", "x2", "x3"], 200).orderBy("dt").collect()
-    p = rows(spark).orderBy("dt").toPandas()
-    for i in (0, 50, 99):
-        past = p.iloc[i : 200 + i]
-        a, b = models.prepare(past[["x1", "x2", "x3"]].to_numpy(float), p.iloc[[200 + i]][["x1", "x2", "x3"]].to_numpy(float))
-        assert abs(got[i].p1 - models.chance(b, models.logistic(a, past.y.to_numpy(int), 1.0))[0]) < 1e-12
-    assert len(got) == 100
-
-
 def test_garch_is_as_likely_as_the_best_of_a_fine_grid():
     rng = np.random.default_rng(8)
     h, r = 1.0, []
