@@ -28,6 +28,8 @@ from .work import written
 
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 192, (2, 3, 4), 16, 8
 PER_LANGUAGE, SAMPLED = 600, 4
+#: Parts that the ids of a language are ranked in before the language as a whole.
+SALTS = 32
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 UNKNOWN = "und"
 
@@ -124,6 +126,9 @@ def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def sample(docs: DataFrame, key: str, text: str, lang: str, bound: int) -> DataFrame:
     """(lang, window) of the documents to learn from; ids are ranked before texts are touched, and the bounded side is broadcast."""
     ok = docs.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(key).alias("__k"), F.col(lang).cast("string").alias("__l"))
+    # first in each of SALTS parts of a language, so that no task ranks all ids of a common one
+    part = Window.partitionBy("__l", F.pmod(F.xxhash64("__k", F.lit(11)), F.lit(SALTS))).orderBy(F.xxhash64("__k"), "__k")
+    ok = ok.withColumn("__r", F.row_number().over(part)).where(F.col("__r") <= bound).drop("__r")
     rank = F.row_number().over(Window.partitionBy("__l").orderBy(F.xxhash64("__k"), "__k"))
     chosen = ok.withColumn("__r", rank).where(F.col("__r") <= bound).select("__k", "__l").distinct()
     found = docs.select(F.col(key), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).join(F.broadcast(chosen), (F.col(key) == F.col("__k")) & (F.col("l") == F.col("__l")))
