@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from . import trees
 from .models import chance, components, logistic, prepare
+from .moments import Cumulated
 from .tune import VARIANTS
 
 #: Windows that are fitted side by side.
@@ -118,14 +119,18 @@ def learner(variant: str) -> Callable[[list[trees.Fit]], list[np.ndarray]]:
     return FAMILIES[family](values)
 
 
-def window_fit(x: np.ndarray, y: np.ndarray, rest: np.ndarray, k: int, seed: int) -> tuple[trees.Fit, np.ndarray] | None:
-    """A window's prepared columns (``k`` principal components, scaled again, or all columns for 0) and its classes as numbers from 0; None with a single class."""
-    labels, y = np.unique(y, return_inverse=True)
+def window_fit(sums: Cumulated, y: np.ndarray, a: int, b: int, rest: slice, k: int, seed: int) -> tuple[trees.Fit, np.ndarray] | None:
+    """The rows a .. b - 1 as prepared columns (``k`` principal components, scaled again, or all columns for 0) with their classes as numbers from 0, and ``rest`` to predict; None with a
+    single class. Means, scales and axes come from the running sums; rows with missing values are prepared one window at a time."""
+    labels, own = np.unique(y[a:b], return_inverse=True)
     if len(labels) < 2:
         return None
-    a, b = components(x, rest, k)[:2] if k else prepare(x, rest)
+    if sums.whole:
+        u, v = sums.prepared(a, b, rest, k)
+    else:
+        u, v = components(sums.x[a:b], sums.x[rest], k)[:2] if k else prepare(sums.x[a:b], sums.x[rest])
     # rounded, so that the last digits of sums made in another order do not move a split
-    return trees.Fit(a.round(9), y, b.round(9), seed), labels
+    return trees.Fit(u.round(9), own, v.round(9), seed), labels
 
 
 def chunked(rows: DataFrame, spec: BatchSpec, history: int, keys: list[str]) -> DataFrame:
@@ -157,8 +162,8 @@ def _groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
         yield pd.concat(held)
 
 
-def _numbers(group: pd.DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    return group[features].to_numpy(float), group.y.to_numpy(int), group.rn.to_numpy(int), int(group.n.iloc[0])
+def _numbers(group: pd.DataFrame, features: list[str]) -> tuple[Cumulated, np.ndarray, np.ndarray, int]:
+    return Cumulated(group[features].to_numpy(float)), group.y.to_numpy(int), group.rn.to_numpy(int), int(group.n.iloc[0])
 
 
 def _starts(rn: np.ndarray, n: int, chunk: int, spec: BatchSpec) -> list[tuple[int, int]]:
@@ -192,7 +197,7 @@ def score_batches(rows: DataFrame, features: list[str], names: list[str], spec:
                 at = np.searchsorted(rn, t)
                 a = at - spec.window
                 mid = a + spec.train
-                made = window_fit(x[a : mid - spec.purge], y[a : mid - spec.purge], x[mid:at], k, _seed(group, keys, batch))
+                made = window_fit(x, y, a, mid - spec.purge, slice(mid, at), k, _seed(group, keys, batch))
                 if made is None:
                     continue
                 fit, labels = made
@@ -239,7 +244,7 @@ def deploy_batches(rows: DataFrame, features: list[str], chosen: DataFrame, spec
                     at = int(np.searchsorted(rn, step))
                     end = at - spec.purge
                     a = max(0, at - spec.cap)
-                    one = window_fit(x[a:end], y[a:end], x[at : at + 1], k, _seed(group, keys, batch, step))
+                    one = window_fit(x, y, a, end, slice(at, at + 1), k, _seed(group, keys, batch, step))
                     if one is None:
                         continue
                     held.setdefault(name, []).append((((*(group[c].iloc[0] for c in keys), batch, dts[at], int(y[at]), moves[at])), one[1], one[0]))
@@ -279,9 +284,9 @@ def fit_classes(rows: DataFrame, features: list[str], names: list[str], keys: li
             key = tuple(group[c].iloc[0] for c in keys)
             test = group[group.is_test]
             train = group[~group.is_test]
-            x, y = train[features].to_numpy(float), train.y.to_numpy(int)
-            out = []
-            made = window_fit(x, y, test[features].to_numpy(float), k, _seed(group, keys)) if len(test) and len(train) else None
+            out, cut = [], len(train)
+            both = pd.concat([train, test])
+            made = window_fit(Cumulated(both[features].to_numpy(float)), both.y.to_numpy(int), 0, cut, slice(cut, None), k, _seed(group, keys)) if len(test) and cut else None
             for name in names:
                 if made is None:
                     out.append((*key, name, None, None, None, None, None, None, "one class or no test rows"))
@@ -320,7 +325,7 @@ def forecast_newest(rows: DataFrame, features: list[str], keys: list[str], cap:
                 status = f"too_few_labeled_rows:{len(known)}"
             elif group.champion.iloc[0] not in VARIANTS:
                 status = f"chosen_variant_not_in_grid:{group.champion.iloc[0]}"
-            elif not (made := window_fit(known[features].to_numpy(float), known.y.to_numpy(int), row[features].to_numpy(float), k, _seed(group, keys))):
+            elif not (made := window_fit(Cumulated(pd.concat([known, row])[features].to_numpy(float)), known.y.to_numpy(int), 0, len(known), slice(len(known), None), k, _seed(group, keys))):
                 status = "training_labels_single_class"
             if made:
                 p = learner(group.champion.iloc[0])([made[0]])[0][0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import backtest, features, folds, grid, metrics, models, targets, tune
+from ..operators import backtest, features, folds, grid, metrics, models, moments, targets, tune
 from ..operators.panel import by_instrument
 from . import tables as T
 from .panel_queries import r6
@@ -37,6 +37,36 @@ def walk(spark: SparkSession, sf: str, spec: folds.FoldSpec) -> DataFrame:
     return folds.walk_forward(folds.with_size(panel(spark, sf)), spec)
 
 
+def fold_windows(spark: SparkSession, sf: str, spec: folds.FoldSpec) -> DataFrame:
+    rows = panel(spark, sf)
+    return moments.window_moments(moments.running_sums(rows, FEATURES, ["instrument"]), moments.training_windows(rows, spec, ["instrument"]), ["instrument"])
+
+
+PANEL = f"""{T.LEVEL}, p0 AS (SELECT *, (px / lag(px) OVER o - 1) * 100 AS ret FROM level WINDOW o AS (PARTITION BY instrument ORDER BY dt)),
+p1 AS (SELECT instrument, dt, px, ret AS ret1, lag(ret) OVER o AS ret2, lag(ret, 2) OVER o AS ret3, CASE WHEN count(ret) OVER w >= 10 THEN stddev_samp(ret) OVER w END AS vol, px / avg(px) OVER w - 1 AS gap FROM p0
+  WINDOW o AS (PARTITION BY instrument ORDER BY dt), w AS (PARTITION BY instrument ORDER BY dt ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+p2 AS (SELECT *, lead(px) OVER (PARTITION BY instrument ORDER BY dt) / px - 1 AS forward_r FROM p1 WHERE ret3 IS NOT NULL AND vol IS NOT NULL),
+panel AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY dt) - 1 AS rn, count(*) OVER (PARTITION BY instrument) AS n FROM p2 WHERE forward_r <> 0),
+win AS (SELECT p.*, f.fold FROM panel p, range(0, 2000) f(fold) WHERE p.n >= 250 AND f.fold <= floor((p.n - 250) / 50) AND p.rn >= f.fold * 50 AND p.rn < f.fold * 50 + 200)"""
+PAIRS = [(FEATURES[i], FEATURES[j]) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
+
+
+@query("fold_moments", f"WITH {PANEL} " + " UNION ALL ".join(f"SELECT instrument, fold, '{a}' AS a, '{b}' AS b, count(*) AS n, round(avg({a}), 6) AS mean_a, round(covar_pop({a}, {b}), 6) AS cov FROM win GROUP BY 1, 2" for a, b in PAIRS))
+def fold_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """Means and covariances of every fold's training rows as differences of running sums."""
+    cov = F.expr("posexplode(cov)").alias("i", "cov")
+    names = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(FEATURES.index(a)).alias("at")) for a, b in PAIRS))
+    df = fold_windows(spark, sf, folds.FoldSpec()).select("instrument", "fold", "n", "mean", cov).withColumn("x", F.get(names, F.col("i")))
+    return r6(df.select("instrument", "fold", "x.a", "x.b", "n", F.get("mean", F.col("x.at")).alias("mean_a"), "cov"), "mean_a", "cov")
+
+
+@query("fold_components")
+def fold_components(spark: SparkSession, sf: str) -> DataFrame:
+    """How many principal components keep 95 % of each fold's variance, and what each keeps."""
+    df = moments.components(fold_windows(spark, sf, folds.FoldSpec(step=5)))
+    return df.select("instrument", "fold", "n", "k", F.transform("kept", lambda x: F.round(x, 6)).alias("kept"))
+
+
 @query("fit_logistic_folds")
 def fit_logistic_folds(spark: SparkSession, sf: str) -> DataFrame:
     return r6(models.fit_folds(walk(spark, sf, folds.FoldSpec()), FEATURES, "Logistic"), "p0", "p1", "forward_r")
