@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..streaming import bars
 from . import tables as T
-from .panel_queries import OHLC, R6, r6
+from .panel_queries import NY_DAILY, OHLC, R6, r6
 from .registry import query
 
 
 @query("stream_bars_hourly", f'WITH {T.HOURLY} SELECT instrument, hour, {R6("open", "high", "low", "close", "volume")} FROM hourly')
 def stream_bars_hourly(spark: SparkSession, sf: str) -> DataFrame:
     return r6(bars.stream_hourly_bars(spark, f"{sf}/event[s].parquet"), *OHLC, "volume")
+
+
+@query("stream_bars_session", f'WITH {NY_DAILY} SELECT instrument, dt, {R6("open", "high", "low", "close", "volume")} FROM ny')
+def stream_bars_session(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars kept in state and closed by timers equal the batch bars of New York days."""
+    return r6(bars.stream_session_bars(spark, f"{sf}/event[s].parquet").drop("closed"), *OHLC, "volume")
