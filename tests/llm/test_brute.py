@@ -440,6 +440,34 @@ def test_hubs_of_largest_id_and_decoys(spark):
     assert np.mean([got[i] == w for i, w in want.items()]) > 0.93 and all(got[i] == i for i in sets if i % 10 < 2)
 
 
+def test_a_family_of_variants_is_not_verified_pair_by_pair(spark, monkeypatch):
+    """1,200 texts from one template with 1 to 8 words changed: few of their pairs are similar, and few of the others are verified; no linked text is lost."""
+    rng = np.random.default_rng(31)
+    words = [f"w{k}" for k in range(4000)]
+    base, docs = list(rng.choice(words, 120)), []
+    for i in range(1200):
+        text = list(base)
+        for j in rng.choice(120, int(rng.integers(1, 9)), replace=False):
+            text[j] = f"x{i}.{j}"
+        docs.append((i, " ".join(text)))
+    sets = [np.array(sorted({hash(tuple(t.split()[j : j + 5])) for j in range(116)})) for _, t in docs]
+    codes = {h: k for k, h in enumerate(sorted({int(h) for x in sets for h in x}))}
+    table = np.zeros((1200, len(codes)), np.float32)
+    for i, x in enumerate(sets):
+        table[i, [codes[int(h)] for h in x]] = 1
+    both = table @ table.T
+    links = both >= 0.8 * (table.sum(1)[:, None] + table.sum(1)[None] - both)
+    want = np.arange(1200)
+    while (now := np.where(links, want[None], 1200).min(1)).tolist() != want.tolist():
+        want = now
+    verified = []
+    similar = simhash._similar
+    monkeypatch.setattr(simhash, "_similar", lambda pairs, *more: (verified.append(pairs.count()), similar(pairs, *more))[1])
+    got = {r.id: r.component_id for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert np.mean([got[i] == want[i] for i in range(1200)]) > 0.995 and len(set(want.tolist())) > 300
+    assert sum(verified) < 40 * 1200, verified
+
+
 def test_long_texts_are_decided_on_all_their_shingles(spark):
     rng = np.random.default_rng(29)
     docs, want = [], {}
