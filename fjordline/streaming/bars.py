@@ -107,13 +107,13 @@ def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "2 da
     return e.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def run_to_table(bars: DataFrame, folder: str) -> None:
+def run_to_table(bars: DataFrame, folder: str, mode: str = "update") -> None:
     """Process all that is available; every micro-batch writes its changed bars under its own number, so a repeated batch overwrites itself."""
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/bars/batch={number}")
 
-    bars.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    bars.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
 
 
 def latest_bars(spark: SparkSession, folder: str, keys: tuple[str, ...] = ("instrument", "hour"), last: tuple[str, ...] = ()) -> DataFrame:

@@ -4,6 +4,8 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from fjordline.sources import bars as B
+from fjordline.sources import quotes
 from fjordline.streaming import bars
 
 T0 = datetime.datetime(2024, 3, 8, 14, 0)  # a Friday, 9:00 in New York; clocks change on the 10th
@@ -49,3 +51,31 @@ def test_partial_bars_skip_what_is_missing(spark):
     got = bars.partial_bars(df.coalesce(1)).collect()
     assert [(r.instrument, r.open, r.high, r.close, r.volume) for r in got] == [("a", 1.0, 4.0, 4.0, 2.0)]
     assert bars.partial_bars(df.where(F.lit(False))).count() == 0
+
+
+def responses(spark):
+    rows = [("a", "tick", "2024-01-05", [("2024-01-05 10:00:00.5", 1.0), ("2024-01-05 11:00:00", 2.0)]), ("a", "mean", "2024-01-05", [("2024-01-05 00:00:00", 9.0)]), ("b", "other", "2024-01-05", [("2024-01-05 00:00:00", 7.0)]), ("b", "block", "2024-01-06", [("2024-01-06 00:00:00", 0.0)]), ("b", "mean", "2024-01-06", [("2024-01-06 00:00:00", 4.0)]), ("c", "tick", "2024-01-07", [])]
+    return spark.createDataFrame([(*r[:2], datetime.date.fromisoformat(r[2]), r[3]) for r in rows], "instrument string, granularity string, day date, points array<struct<t:string,v:double>>")
+
+
+def test_recorded_quotes_fall_back_and_skip(spark, tmp_path):
+    folder = f"file://{tmp_path}/quotes"
+    quotes.record(responses(spark), folder)
+    df = quotes.read_quotes(spark, folder)
+    assert df.count() == 5 and {r.instrument for r in df.where("granularity = 'tick'").collect()} == {"a"}
+    best = {(r.instrument, str(r.dt)): (r.value, r.priority) for r in B.first_quote(quotes.last_of_each(df), ["instrument", "dt"]).collect()}
+    assert best == {("a", "2024-01-05"): (2.0, 1), ("b", "2024-01-06"): (4.0, 3)}
+    assert quotes.last_of_each(quotes.read_quotes(spark, folder, "mean,tick")).where("instrument = 'a' AND priority = 1").first().value == 9.0
+    part = quotes.read_quotes(spark, folder, "block,mean", since="2024-01-06")
+    assert part.count() == 2 and part.where("granularity = 'mean'").count() == 1 and part.count() == 2
+    assert [p.day for p in quotes.QuoteReader({"path": folder, "until": "2024-01-06"}).partitions()] == ["2024-01-05", "2024-01-06"]
+    assert quotes.read_quotes(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_recorded_quotes_stream_by_days(spark, tmp_path):
+    folder, out = f"file://{tmp_path}/quotes", f"file://{tmp_path}/out"
+    go = lambda: (bars.run_to_table(quotes.stream_quotes(spark, folder), out, "append"), spark.read.parquet(f"{out}/bars").count())[1]
+    quotes.record(responses(spark).where("day < DATE'2024-01-06'"), folder)
+    assert go() == 3
+    quotes.record(responses(spark).where("day >= DATE'2024-01-06'"), folder)
+    assert go() == 5 == go()
