@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import trees
+from . import machines, trees
 from .models import chance, components, logistic, prepare
 from .moments import Cumulated
 from .tune import VARIANTS
@@ -264,6 +264,8 @@ MODELS: dict[str, Callable[[list[trees.Fit]], list[np.ndarray]]] = {
     "Boosted sampled": lambda fits: trees.boosted(fits, trees.Boosting(250, 0.06, 5, leaves=1 << 30, least_rows=1, least_hess=1.0, ridge=1.0, rows=0.85, columns=0.85, balanced=False)),
     "Boosted leafwise": lambda fits: trees.boosted(fits, trees.Boosting(300, 0.05, 62, growth="leaf", columns=0.85)),
     "Boosted symmetric": lambda fits: trees.boosted(fits, trees.Boosting(400, 0.06, 6, growth="symmetric", least_rows=1, least_hess=1e-12, ridge=3.0)),
+    "Radial machine": machines.radial_machine,
+    "Perceptron": machines.perceptron,
     "Logistic": lambda fits: _linear(fits, 1.0),
     "Multinomial": lambda fits: [_unpenalised(f) for f in fits],
 }
