@@ -51,23 +51,39 @@ def test_unpenalised_fits_have_no_slope_left():
     assert models.few_components(20, 60) == 8 and models.few_components(1000, 60) == 40
 
 
+def garch_cost(r, omega, a, b):
+    h, total = float(np.mean(r * r)), 0.0
+    for x in r:
+        total += np.log(h) + x * x / h
+        h = omega + a * x * x + b * h
+    return total, h
+
+
 def test_garch_is_as_likely_as_the_best_of_a_fine_grid():
-    rng = np.random.default_rng(8)
-    h, r = 1.0, []
-    for _ in range(400):
-        r.append(np.sqrt(h) * rng.standard_normal())
-        h = 0.1 + 0.12 * r[-1] ** 2 + 0.78 * h
-    r = np.array(r)
-
-    def cost(omega, a, b):
-        h, ll = r.var(), 0.0
-        for x in r:
-            ll += np.log(h) + x * x / h
-            h = omega + a * x * x + b * h
-        return ll
-
-    best = min(cost(o, a, b) for o in (0.02, 0.05, 0.1, 0.15, 0.25) for a in np.arange(0.02, 0.3, 0.04) for b in np.arange(0.4, 0.95, 0.05) if a + b < 0.9995)
-    assert cost(*features._fit_garch(r)) <= best + 0.05
+    """Windows of several lengths side by side, some with no clustering, where the best point lies on the border."""
+    rng = np.random.default_rng(7)
+    windows = []
+    for k, (a, b) in enumerate([(0.1, 0.85), (0.3, 0.5), (0.0, 0.0), (0.05, 0.9), (0.2, 0.2)]):
+        h, r = 1.0, []
+        for _ in range(130 + 60 * k):
+            r.append(rng.normal() * np.sqrt(h))
+            h = 0.1 + a * r[-1] ** 2 + b * h
+        windows.append(np.array(r))
+    q, own = np.ones((400, 5)), np.zeros((400, 5), bool)
+    for k, r in enumerate(windows):
+        q[: len(r), k], own[: len(r), k] = r * r, True
+    made, ahead, cost = features.fit_garch(q, own)
+    for k, r in enumerate(windows):
+        v = float(np.mean(r * r))
+        mine = garch_cost(r, *made[k])
+        assert abs(mine[0] - cost[k]) < 1e-6 and abs(mine[1] - ahead[k]) < 1e-6
+        grid = min(garch_cost(r, v * s * (1 - a - b), a, b)[0] for a in (0, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4) for b in (0, 0.1, 0.3, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.93) if a + b < 0.999 for s in (0.7, 0.85, 1, 1.2))
+        assert mine[0] <= grid + 0.01, (k, mine[0], grid)
+    x = np.random.default_rng(1).random((60, 3))
+    loop = [np.array([1.0, 2.0, 3.0])]
+    for row in x:
+        loop.append(row + np.array([0.9, 0.1, 0.0]) * loop[-1])
+    assert np.allclose(features.carried(x, np.array([0.9, 0.1, 0.0]), loop[0]), loop)
 
 
 def test_garch_columns_join_the_panel(spark):
