@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -163,6 +165,28 @@ def usable_rows(spark: SparkSession, sf: str) -> DataFrame:
     return panel.row_guard(panel.usable_rows(df, ["lag60", "fund_sum"]))
 
 
+CANDIDATES = ("fund_", "lag", "january", "nothing", "volume")
+
+
+@query(
+    "panel_prepared",
+    f"""WITH {WIDE}, ny AS (SELECT (((max(dt) - 3)::TIMESTAMP + INTERVAL 22 HOUR) AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS t FROM daily),
+s AS (SELECT CASE WHEN extract('isodow' FROM t) <= 5 AND extract('hour' FROM t) >= 17 THEN CAST(t AS DATE) ELSE CAST(t AS DATE) - CASE extract('isodow' FROM t) WHEN 1 THEN 3 WHEN 7 THEN 2 ELSE 1 END::INTEGER END AS through FROM ny)
+SELECT instrument, dt, round(volume, 6) AS volume, round(fund_sum, 2) AS fund_sum, fund_count, round(lag60, 6) AS lag60 FROM wide, s
+WHERE dt <= through AND (volume IS NOT NULL)::INT + (fund_sum IS NOT NULL)::INT + (fund_count IS NOT NULL)::INT + (lag60 IS NOT NULL)::INT >= 4""",
+)
+def panel_prepared(spark: SparkSession, sf: str) -> DataFrame:
+    """From candidate columns to a panel: chosen by prefix and suffix, empty and thinly filled ones dropped, rows up to the last complete session with enough values."""
+    df = wide(spark, sf)
+    day = df.agg(F.max("dt").alias("d")).first()["d"]
+    df = panel.until_session(df, F.lit(datetime.datetime.combine(day - datetime.timedelta(days=3), datetime.time(22))))
+    names = panel.columns_like(df, CANDIDATES, ("_avg",))
+    df = panel.drop_empty_columns(df, names)
+    kept = panel.kept_columns(df, [c for c in names if c in df.columns])
+    out = panel.drop_sparse_rows(df, kept, least=4).select("instrument", "dt", *sorted(kept))
+    return r6(out, *(c for c in ("volume", "lag60") if c in kept)).withColumn("fund_sum", F.round("fund_sum", 2))
+
+
 FILL = lambda c, frame: f"last_value({c} IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY dt ROWS BETWEEN {frame} AND CURRENT ROW)"
 
 
@@ -311,3 +335,10 @@ def session_dates(spark: SparkSession, sf: str) -> DataFrame:
 @query("garch_vol")
 def garch_vol(spark: SparkSession, sf: str) -> DataFrame:
     return r6(features.garch_vol(features.pct_change(T.level(spark, sf), "px")), "sigma")
+
+
+@query("garch_columns")
+def garch_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels with their realised volatility and the held GARCH forecast beside them."""
+    names = ("feat_garch_realized_vol20_pct", "feat_garch_cond_sigma_pct")
+    return r6(features.with_garch(T.level(spark, sf), "px").select("instrument", "dt", *names), *names)
