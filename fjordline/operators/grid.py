@@ -133,7 +133,7 @@ def window_fit(sums: Cumulated, y: np.ndarray, a: int, b: int, rest: slice, k: i
     return trees.Fit(u.round(9), own, v.round(9), seed), labels
 
 
-def chunked(rows: DataFrame, spec: BatchSpec, history: int, keys: list[str]) -> DataFrame:
+def chunked(rows: DataFrame, spec: BatchSpec, history: int) -> DataFrame:
     """Rows with their number ``rn`` in a run of ``n``, dealt to chunks of ``batches_a_chunk`` complete batches with ``history`` rows before them; a column ``chunk`` is added."""
     last = F.floor((F.col("n") - spec.window - spec.ahead) / spec.size) + 1  # complete batches
     size = spec.size * spec.batches_a_chunk
@@ -210,13 +210,13 @@ def score_batches(rows: DataFrame, features: list[str], names: list[str], spec:
         if held:
             yield scored()
 
-    return _mapped(chunked(rows, spec, spec.window, keys), keys, features, work, "batch long, ordinal int, variant string, val_acc double, acc double")
+    return _mapped(chunked(rows, spec, spec.window), keys, features, work, "batch long, ordinal int, variant string, val_acc double, acc double")
 
 
 def deploy_batches(rows: DataFrame, features: list[str], chosen: DataFrame, spec: BatchSpec, keys: list[str], k: int = 0) -> DataFrame:
     """(keys, batch, dt, variant, y, forward_r, labels, p, pred): each row of each batch forecast by the batch's variant (``chosen``: keys, batch, champion), refitted on the rows
     before it; ``p`` holds a probability for each of ``labels``. Rows whose history has one class get no forecast."""
-    dealt = chunked(rows, spec, spec.cap, keys)
+    dealt = chunked(rows, spec, spec.cap)
     byname = chosen.groupBy(*keys, F.floor(F.col("batch") / spec.batches_a_chunk).cast("long").alias("chunk")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("batch").cast("long"), "champion"))).alias("champions"))
     heads = dealt.withColumn("_first", F.row_number().over(Window.partitionBy(*keys, "chunk").orderBy("rn")) == 1)
     dealt = heads.join(byname, [*keys, "chunk"]).withColumn("champions", F.when(F.col("_first"), F.col("champions"))).drop("_first")

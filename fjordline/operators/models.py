@@ -127,6 +127,8 @@ def _by_variance(a, y, b, k):
 
 #: Small models that are fitted once a group, by name: (training columns, labels, test columns, components of a global reduction or 0) to (p1, figures).
 FITS = {"Global PCA + logistic": lambda a, y, b, k: _by_logistic(a, y, b, k or a.shape[1]), "PCA + logistic": _by_variance, "Logit": _by_link("logit"), "Probit": _by_link("probit")}
+#: Models that forecast class 1 at a probability of exactly one half.
+HALF_IS_UP = ("Logit", "Probit")
 FITTED = PREDICTION + ", is_test boolean, status string, figures map<string,double>"
 
 
@@ -152,11 +154,11 @@ def fit_models(rows: DataFrame, features: list[str], names: list[str] | None = N
                 say(name, "one class or no test rows")
                 continue
             try:
-                p, figures = FITS[name](train[features].to_numpy(float), train.y.to_numpy(float if name in ("Logit", "Probit") else int), pdf[features].to_numpy(float), k)
-            except np.linalg.LinAlgError as e:
-                say(name, str(e))
+                p, figures = FITS[name](train[features].to_numpy(float), train.y.to_numpy(float if name in HALF_IS_UP else int), pdf[features].to_numpy(float), k)
+            except (ArithmeticError, ValueError, np.linalg.LinAlgError) as e:
+                say(name, f"{type(e).__name__}: {e}")
                 continue
-            made = pdf[["fold", "instrument", "dt", "y", "forward_r", "is_test"]].assign(model=name, p0=1 - p, p1=p, pred=(p > 0.5).astype(int), status="ok")
+            made = pdf[["fold", "instrument", "dt", "y", "forward_r", "is_test"]].assign(model=name, p0=1 - p, p1=p, pred=(p >= 0.5 if name in HALF_IS_UP else p > 0.5).astype(int), status="ok")
             out.append(made.assign(figures=[figures] * len(made)))
         made = pd.concat(out).reindex(columns=[c.split()[0] for c in FITTED.replace("map<string,double>", "map").split(", ")]).astype(object)
         return made.where(made.notna(), None)

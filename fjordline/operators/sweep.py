@@ -17,7 +17,6 @@ from pyspark.sql.window import Window
 
 from ..sources.bars import read_or_empty
 from . import targets
-from .panel import by_instrument
 
 TARGETS, BASES, LEADS = ("binary", "ternary"), ("close", "high_low"), tuple(range(1, 11))
 LOG = "run string, attempt string, finished timestamp, elapsed_sec double"

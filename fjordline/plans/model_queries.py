@@ -129,8 +129,7 @@ def fit_mnlogit(spark: SparkSession, sf: str) -> DataFrame:
     """Three classes fold by fold: an unpenalised multinomial logit on principal components, a penalised one, and their probabilities for every class."""
     df = three_class_folds(spark, sf)
     made = grid.fit_classes(df, FEATURES, ["Multinomial", "Logistic"], ["instrument", "fold"], 4).where("status = 'ok'")
-    p = grid.of_classes("p", "labels", 3)
-    return r6(made.withColumns({f"p{i}": F.get(p, i) for i in range(3)}).drop("p", "labels"), "p0", "p1", "p2", "forward_r")
+    return r6(made.withColumn("p", F.transform(grid.of_classes("p", "labels", 3), lambda x: F.round(x, 6))).drop("labels"), "forward_r")
 
 
 def three_class_folds(spark: SparkSession, sf: str, lead: int = 5) -> DataFrame:
@@ -174,7 +173,11 @@ def tune_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Score logistic, boosted and bagged variants before each batch, choose sticky champions, and forecast the next 25 rows one by one, the champion being refitted at every step."""
     best = batch_champions(spark, sf)
     made = grid.deploy_batches(by_run(spark, sf), FEATURES, best.select("run", "batch", "champion"), BATCH, ["run"], 5)
-    return r6(two_classes(made).withColumnRenamed("run", "instrument"), "p0", "p1", "forward_r")
+    return r6(as_predictions(two_classes(made)), "p0", "p1", "forward_r")
+
+
+def as_predictions(made: DataFrame, *more: str) -> DataFrame:
+    return made.select(F.col("batch").alias("fold"), F.col("variant").alias("model"), F.col("run").alias("instrument"), "dt", "y", "forward_r", "p0", "p1", "pred", *more)
 
 
 @query("fit_models_folds")
@@ -222,5 +225,5 @@ def tune_origins(spark: SparkSession, sf: str) -> DataFrame:
     scores = grid.score_batches(by_run(spark, sf), FEATURES, tune.names("faster"), ORIGIN, ["run"], 5).persist()
     best = tune.nested_champions(scores)
     made = two_classes(grid.deploy_batches(by_run(spark, sf), FEATURES, best.select("run", "batch", "champion"), ORIGIN, ["run"], 5))
-    out = made.join(best.select("run", "batch", "best", "best_acc"), ["run", "batch"]).withColumnRenamed("run", "instrument")
-    return r6(out, "p0", "p1", "forward_r", "best_acc")
+    out = made.join(best.select("run", "batch", "best", "best_acc"), ["run", "batch"])
+    return r6(as_predictions(out, "best", "best_acc"), "p0", "p1", "forward_r", "best_acc")
