@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import ship
 from . import machines, trees
 from .models import chance, components, logistic, prepare
 from .moments import Cumulated
@@ -303,6 +304,7 @@ def fit_classes(rows: DataFrame, features: list[str], names: list[str], keys: li
             frame = pd.DataFrame(out, columns=columns).astype(object)
             yield frame.where(frame.notna(), None)
 
+    ship(rows.sparkSession)
     kinds = dict(rows.dtypes)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df = rows.select(*keys, "dt", "y", "forward_r", "is_test", *features).repartition(parts, *keys).sortWithinPartitions(*keys, "dt")
@@ -335,6 +337,7 @@ def forecast_newest(rows: DataFrame, features: list[str], keys: list[str], cap:
             else:
                 yield pd.DataFrame([(*key, None, len(known), None, None, None, status)], columns=[*keys, "labelled_through", "n_train", "labels", "p", "pred", "status"])
 
+    ship(rows.sparkSession)
     kinds = dict(rows.dtypes)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df = rows.select(*keys, "dt", "y", "newest", "champion", *features).repartition(parts, *keys).sortWithinPartitions(*keys, "dt")
@@ -342,6 +345,7 @@ def forecast_newest(rows: DataFrame, features: list[str], keys: list[str], cap:
 
 
 def _mapped(dealt: DataFrame, keys: list[str], features: list[str], work, schema: str, more: list[str] | None = None) -> DataFrame:
+    ship(dealt.sparkSession)
     kinds = dict(dealt.dtypes)
     df = dealt.select(*keys, "chunk", "dt", "rn", "n", "y", *(more or []), *features)
     # a fixed number of parts: fits cost time, not bytes, so small parts must not be put together

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import ship
 from .folds import FoldSpec
 
 
@@ -70,6 +71,8 @@ def components(moments: DataFrame, share: float = 0.95) -> DataFrame:
     """Append ``k``, the number of principal components that keep ``share`` of the variance, ``kept``, the share each of all components keeps, and ``axes``: from the covariances of a window
     alone, one small matrix a window."""
 
+    ship(moments.sparkSession)
+
     @F.pandas_udf("k int, kept array<double>, axes array<array<double>>")
     def found(mean: pd.Series, cov: pd.Series) -> pd.DataFrame:
         out = []

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
+from .. import ship
 from ..operators.calendar import ZONE
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -45,6 +46,7 @@ def partial_bars(events: DataFrame, roll_hour: int = 24) -> DataFrame:
                 made = f.groupby(["instrument", "dt"], as_index=False).agg({"first": "first", "ts": "last", "open": "first", "high": "max", "low": "min", "close": "last", "volume": "sum"})
                 yield made[[c.split()[0] for c in PARTIAL.split(", ")]]
 
+    ship(events.sparkSession)
     ny = F.convert_timezone(F.lit("UTC"), F.lit(ZONE), F.col("ts").cast("timestamp_ntz"))
     ticks = events.select(F.col("event_type").alias("instrument"), F.to_date(ny + F.make_interval(hours=F.lit(24 - roll_hour))).alias("dt"), F.col("ts").cast("timestamp").alias("ts"), "value")
     return ticks.mapInPandas(work, PARTIAL)
