@@ -8,12 +8,14 @@ Columns are shifted by their mean over the run first, so that the differences ke
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from .. import ship
@@ -73,17 +75,22 @@ def components(moments: DataFrame, share: float = 0.95) -> DataFrame:
 
     ship(moments.sparkSession)
 
-    @F.pandas_udf("k int, kept array<double>, axes array<array<double>>")
-    def found(mean: pd.Series, cov: pd.Series) -> pd.DataFrame:
-        out = []
-        for m, c in zip(mean, cov, strict=True):
-            full = _square(c, len(m))
-            _, values, axes = principal(full, np.diag(full) <= 1e-18)
-            part = values / max(values.sum(), 1e-300)
-            out.append((int(np.searchsorted(np.cumsum(part), share - 1e-12)) + 1, part.tolist(), axes.tolist()))
-        return pd.DataFrame(out, columns=["k", "kept", "axes"])
-
-    return moments.withColumn("_p", found("mean", "cov")).select(*moments.columns, "_p.*")
+    # a map over whole rows: where means and covariances are used for nothing else, Spark puts their lambda functions into the arguments of a scalar UDF and then can't extract it
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k, kept, shown = [], [], []
+            for m, c in zip(b.column("mean").to_pylist(), b.column("cov").to_pylist(), strict=True):
+                full = _square(c, len(m))
+                _, values, axes = principal(full, np.diag(full) <= 1e-18)
+                part = values / max(values.sum(), 1e-300)
+                k.append(int(np.searchsorted(np.cumsum(part), share - 1e-12)) + 1)
+                kept.append(part.tolist())
+                shown.append(axes.tolist())
+            one = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k, pa.int32()), pa.array(kept, one), pa.array(shown, pa.list_(one))], names=[*b.schema.names, "k", "kept", "axes"])
+
+    schema = StructType([*moments.schema.fields, *StructType.fromDDL("k int, kept array<double>, axes array<array<double>>").fields])
+    return moments.mapInArrow(found, schema)
 
 
 class Cumulated:

@@ -24,6 +24,25 @@ def test_windows_equal_svd(spark):
         assert np.allclose(np.abs((np.array(r.axes) * v).sum(1)), 1, atol=1e-6)
 
 
+def test_components_alone(spark, sf_dir):
+    """The query without the means and covariances (their lambda functions once ended up in a UDF's arguments, which Spark can't evaluate) equals each window by itself."""
+    from fjordline.plans import catalogue, model_queries
+
+    got = {(r.instrument, r.fold): (r.n, r.k, r.kept) for r in catalogue.QUERIES["fold_components"](spark, sf_dir).collect()}
+    panel = model_queries.panel(spark, sf_dir).orderBy("instrument", "rn").toPandas()
+    want = {}
+    for name, rows in panel.groupby("instrument"):
+        x = rows[model_queries.FEATURES].to_numpy()
+        for f in range((len(x) - 250) // 5 + 1 if len(x) >= 250 else 0):
+            z = x[f * 5 : f * 5 + 200]
+            s = np.linalg.svd((z - z.mean(0)) / z.std(0), compute_uv=False) ** 2
+            want[name, f] = s / s.sum()
+    assert got and got.keys() == want.keys()
+    for at, share in want.items():
+        n, k, kept = got[at]
+        assert n == 200 and np.allclose(kept, share, atol=2e-6) and k == int(np.searchsorted(np.cumsum(share), 0.95 - 1e-12)) + 1
+
+
 def test_cumulated_windows_equal_preparation_by_rows():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((500, 4)) * [1, 100, 0.01, 3] + [0, 1e3, 5, 0]
