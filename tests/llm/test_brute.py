@@ -468,6 +468,30 @@ def test_a_family_of_variants_is_not_verified_pair_by_pair(spark, monkeypatch):
     assert sum(verified) < 40 * 1200, verified
 
 
+def test_texts_beside_a_family_are_not_compared_as_crowded(spark, monkeypatch):
+    """300 variants of one template among 3,000 other texts: wide fingerprints are made for the variants only, however many others lie in their cells, and no link is lost."""
+    rng = np.random.default_rng(37)
+    words = [f"w{k}" for k in range(6000)]
+    base, docs = list(rng.choice(words, 120)), []
+    for i in range(300):
+        text = list(base)
+        for j in rng.choice(120, int(rng.integers(1, 7)), replace=False):
+            text[j] = f"x{i}.{j}"
+        docs.append((i, " ".join(text)))
+    docs += [(i, " ".join(rng.choice(words, 80))) for i in range(300, 3300)]
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(116)} for _, t in docs[:300]]
+    links = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    want = np.arange(300)
+    while (now := np.where(links, want[None], 300).min(1)).tolist() != want.tolist():
+        want = now
+    made = []
+    wide = simhash._wide
+    monkeypatch.setattr(simhash, "_wide", lambda ids, *more: (made.append(sorted(r[0] for r in ids.collect())), wide(ids, *more))[1])
+    got = {r.id: r.component_id for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert np.mean([got[i] == want[i] for i in range(300)]) > 0.98 and len(set(want.tolist())) > 20 and all(got[i] == i for i in range(300, 3300))
+    assert len(made) == 1 and 200 < len(made[0]) and made[0][-1] < 300, [len(x) for x in made]
+
+
 def test_long_texts_are_decided_on_all_their_shingles(spark):
     rng = np.random.default_rng(29)
     docs, want = [], {}
