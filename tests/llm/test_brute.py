@@ -492,6 +492,39 @@ def test_texts_beside_a_family_are_not_compared_as_crowded(spark, monkeypatch):
     assert len(made) == 1 and 200 < len(made[0]) and made[0][-1] < 300, [len(x) for x in made]
 
 
+def test_joins_on_id_grow_with_texts_and_not_with_their_places(spark, monkeypatch):
+    """200 variants of one template, crowded in many cells each: what is joined on id is a row a text, not a row a text and cell, and rounds after the first give the changed groups only."""
+    rng = np.random.default_rng(41)
+    words = [f"w{k}" for k in range(6000)]
+    base, docs = list(rng.choice(words, 120)), []
+    for i in range(200):
+        text = list(base)
+        for j in rng.choice(120, int(rng.integers(1, 7)), replace=False):
+            text[j] = f"x{i}.{j}"
+        docs.append((i, " ".join(text)))
+    joined, given = [], []
+    frame = type(spark.range(1))
+    join, neighbours = frame.join, simhash._neighbours
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if isinstance(on, str) and on == "id" and how in (None, "inner", "left"):
+            joined.append(out.count())
+        return out
+
+    def noted(covered, *more, **options):
+        if options.get("nearest"):
+            given.append(covered.select("id", "fresh").where("fresh").distinct().count() if "fresh" in covered.columns else 200)
+        return neighbours(covered, *more, **options)
+
+    monkeypatch.setattr(frame, "join", counted)
+    monkeypatch.setattr(simhash, "_neighbours", noted)
+    got = simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    monkeypatch.undo()
+    assert len(got) == 200 and joined and max(joined) <= 200, joined
+    assert given[0] == 200 and all(x < 200 for x in given[1:]), given
+
+
 def test_long_texts_are_decided_on_all_their_shingles(spark):
     rng = np.random.default_rng(29)
     docs, want = [], {}
